@@ -11,18 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.numeric import percent
+from timberline.operators.once import all_of
 
 
 def _order(by: Sequence[str]) -> list[Column]:
     return [F.col(b).asc() for b in by] + [F.col("_n").desc(), F.col("_first").asc()]
 
 
-def _counted(df: DataFrame, keys: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+def _counted(df: DataFrame, keys: Mapping[str, Column], by: Sequence[str],
+             detected: Column | None = None) -> DataFrame:
+    """Rows, first line and number of labelled rows per key."""
     cols = [F.col(b) for b in by] + [c.alias(n) for n, c in keys.items()]
-    present = list(keys.values())[0]
-    for c in list(keys.values())[1:]:
-        present = F.coalesce(present.cast("string"), c.cast("string"))
-    return df.select(*cols, present.isNotNull().alias("_present"), "line_no").groupBy(*by, *keys).agg(
+    present = list(keys.values())[-1].isNotNull() if detected is None else detected
+    return df.select(*cols, present.alias("_present"), "line_no").groupBy(*by, *keys).agg(
         F.count("*").alias("_n"), F.min("line_no").alias("_first"),
         F.count_if("_present").alias("_labelled"),
     )
@@ -30,18 +31,14 @@ def _counted(df: DataFrame, keys: Mapping[str, Column], by: Sequence[str]) -> Da
 
 def frequencies(
     df: DataFrame, label: Column, by: Sequence[str] = (), label_name: str = "label",
-    count_name: str = "value", keep_null: bool = False, limit: int | None = None, ordered: bool = True,
+    count_name: str = "value", limit: int | None = None,
 ) -> DataFrame:
     """Rows per label, most frequent first, ties by first appearance.
 
     Counting combines on the map side, so a hot label costs one row per task.
     ``limit`` is the top-k form and plans as TakeOrderedAndProject.
     """
-    counts = _counted(df, {label_name: label}, by)
-    if not keep_null:
-        counts = counts.where(F.col("_labelled") > 0)
-    if ordered or limit is not None:
-        counts = counts.orderBy(*_order(by))
+    counts = _counted(df, {label_name: label}, by).where(F.col("_labelled") > 0).orderBy(*_order(by))
     if limit is not None:
         counts = counts.limit(limit)
     return counts.select(*by, label_name, F.col("_n").alias(count_name))
@@ -49,20 +46,24 @@ def frequencies(
 
 def shares(
     df: DataFrame, label: Column, by: Sequence[str] = (), label_name: str = "label",
-    keep_null: bool = False, of_labelled: bool = False, extra: Mapping[str, Column] | None = None,
+    of_labelled: bool = False, extra: Mapping[str, Column] | None = None, detected: Column | None = None,
 ) -> DataFrame:
     """:func:`frequencies` with ``pct`` of all rows (or of the labelled rows).
 
     The total is the sum of the group counts, so both branches read one and
     the same shuffle and the lines are parsed once. Without ``by`` the total
     is a single row and is broadcast.
+
+    ``detected`` marks rows that have the column at all; with it NULL is a
+    label like any other, and a report without such rows has no table.
     """
-    counts = _counted(df, {label_name: label}, by)
+    counts = _counted(df, {label_name: label}, by, detected)
     rows = F.col("_labelled") if of_labelled else F.col("_n")
-    totals = counts.groupBy(*by).agg(F.sum(rows).alias("_total"))
+    totals = counts.groupBy(*by).agg(
+        F.sum(F.when(all_of(*counts.columns), rows)).alias("_total"), F.sum("_labelled").alias("_seen"))
     joined = counts.join(totals, list(by)) if by else counts.crossJoin(F.broadcast(totals))
-    if not keep_null:
-        joined = joined.where(F.col("_labelled") > 0)
+    shown = F.col("_labelled" if detected is None else "_seen") > 0
+    joined = joined.where(shown & all_of(*counts.columns))
     out = joined.orderBy(*_order(by)).select(
         *by, label_name, F.col("_n").alias("count"), percent(F.col("_n"), F.col("_total")).alias("pct"),
     )

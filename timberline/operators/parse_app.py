@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions.numeric import to_float, to_int
 from timberline.functions.rules import level_from_words
 from timberline.functions.text import capture, first_match, group, group_or_null, strip
+from timberline.operators.once import once
 
 # fixed values: line forms
 CONTAINER_LINE = (
@@ -38,19 +39,18 @@ def parse_container(lines: DataFrame) -> DataFrame:
     plain_time = F.when(F.length(text) > 20, first_match(text, CONTAINER_FALLBACK))
     typed = group(g, 4).isNotNull()
     message = F.when(typed, group(g, 4)).when(F.col("_plain").isNotNull(), text)
-    return (
-        lines.select("source", "line_no", strip(F.col("value")).alias("_text"))
-        .withColumn("_g", capture(text, CONTAINER_LINE, 4))
-        .withColumn("_plain", F.when(~typed | typed.isNull(), plain_time))
-        .select(
-            "source", "line_no",
-            message.isNotNull().alias("parsed"), (text == "").alias("blank"),
-            F.when(typed, F.replace(group(g, 1), F.lit("Z"), F.lit(""))).otherwise(F.col("_plain")).alias("timestamp"),
-            F.when(typed, group(g, 2)).when(F.col("_plain").isNotNull(), "stdout").alias("stream"),
-            F.when(typed, group_or_null(g, 3)).alias("flag"),
-            F.when(message.isNotNull(), level_from_words(message)).alias("level"),
-            message.alias("message"),
-        )
+    read = once(lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
+                _g=capture(text, CONTAINER_LINE, 4), _plain=plain_time)
+    levelled = once(read.select("*", message.alias("message")), level=F.when(
+        F.col("message").isNotNull(), level_from_words(F.col("message"))))
+    is_plain = typed.isNull() | ~typed
+    return levelled.select(
+        "source", "line_no",
+        F.col("message").isNotNull().alias("parsed"), (text == "").alias("blank"),
+        F.when(is_plain, F.col("_plain")).otherwise(F.replace(group(g, 1), F.lit("Z"), F.lit(""))).alias("timestamp"),
+        F.when(typed, group(g, 2)).when(F.col("_plain").isNotNull(), "stdout").alias("stream"),
+        F.when(typed, group_or_null(g, 3)).alias("flag"),
+        "level", "message",
     )
 
 
@@ -93,10 +93,10 @@ def parse_api(lines: DataFrame) -> DataFrame:
         .otherwise(to_float(duration_text))
 
     spoken = F.coalesce(group_or_null(g, 2), group_or_null(g, 3), group_or_null(g, 4))
-    base = lines.select("source", "line_no", strip(F.col("value")).alias("_text")).select(
-        "*",
-        F.when(is_json, F.try_parse_json(text)).alias("_doc"),
-        F.when(~is_json, capture(text, r"(?s)^.*?" + API_TEXT + r".*\z", 4)).alias("_g"),
+    base = once(
+        lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
+        _doc=F.when(is_json, F.try_parse_json(text)),
+        _g=F.when(~is_json, capture(text, r"(?s)^.*?" + API_TEXT + r".*\z", 4)),
     )
     from_json, from_text = doc.isNotNull(), group(g, 1).isNotNull()
     return base.select(

@@ -120,7 +120,7 @@ def parse_csv(lines: DataFrame) -> DataFrame:
         .join(headers, "source", "left")
         .select(
             "source", "line_no", "_text", "positions", "own_names", "names",
-            (F.col("line_no") == 0).alias("is_header"),
+            ((F.col("line_no") == 0) & F.col("positions").isNotNull()).alias("is_header"),
             F.when(F.col("positions").isNotNull() & (F.col("line_no") > 0) & (text != ""), fields).alias("_f"),
         )
     )

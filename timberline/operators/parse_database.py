@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.text import capture, first_match, group, normalize_sql, strip
+from timberline.operators.once import once
 
 # fixed values: line forms, statement words and event patterns
 DATABASE_LINE = (
@@ -80,27 +81,23 @@ def parse_database(lines: DataFrame, slow_seconds: float = 10.0) -> DataFrame:
     ).when(F.startswith(message, F.lit("statement:")), strip(F.substr(message, F.lit(11))))
     millis = F.when(timed, first_match(message, DURATION).try_cast("double"))
     event, vacuum = F.col("event"), F.regexp_extract(message, AUTOVACUUM, 2)
+    split = once(lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
+                 _banner=banner, _g=capture(text, DATABASE_LINE, 5))
+    banner = F.col("_banner")
+    named = split.select(
+        "source", "line_no", "_text", "_banner",
+        F.when(banner, F.lit("")).otherwise(F.regexp_replace(group(g, 1), r"^([^ ]*) ", "$1T")).alias("timestamp"),
+        F.when(banner, F.lit(0)).otherwise(group(g, 3).try_cast("bigint")).alias("pid"),
+        F.when(banner, "INFO").otherwise(group(g, 4)).alias("level"),
+        F.when(banner, text).otherwise(strip(group(g, 5))).alias("_message"),
+    )
+    timed_rows = once(named, _sql=F.when(~banner, statement), duration_ms=F.when(~banner, millis))
     return (
-        lines.select("source", "line_no", strip(F.col("value")).alias("_text"))
-        .withColumn("_g", F.when(~banner, capture(text, DATABASE_LINE, 5)))
-        .select(
-            "source", "line_no", "_text",
-            F.when(banner, F.lit("")).otherwise(F.regexp_replace(group(g, 1), r"^([^ ]*) ", "$1T")).alias("timestamp"),
-            F.when(banner, F.lit(0)).otherwise(group(g, 3).try_cast("bigint")).alias("pid"),
-            F.when(banner, "INFO").otherwise(group(g, 4)).alias("level"),
-            banner.alias("_banner"),
-            F.when(banner, text).otherwise(strip(group(g, 5))).alias("_message"),
-        )
-        .select("*", F.when(~F.col("_banner"), statement).alias("_sql"))
-        .select(
-            "*",
-            F.when(F.col("_banner"), "startup").when(message.isNotNull(), _event(message, level, sql)).alias("event"),
-            F.when(~F.col("_banner"), millis).alias("duration_ms"),
-        )
+        once(timed_rows, event=F.when(banner, "startup").when(message.isNotNull(), _event(message, level, sql)))
         .select(
             "source", "line_no", message.isNotNull().alias("parsed"), (text == "").alias("blank"),
             "timestamp", "pid", "level", "event",
-            F.when(F.col("_banner"), message).otherwise(F.left(message, F.lit(500))).alias("message"),
+            F.when(banner, message).otherwise(F.left(message, F.lit(500))).alias("message"),
             F.when(sql.isNotNull(), first_match(sql, STATEMENT_TABLE)).alias("table"),
             F.when(sql.isNotNull(), F.coalesce(F.upper(first_match(sql, STATEMENT_TYPE)), F.lit("OTHER"))).alias("stmt_type"),
             "duration_ms",

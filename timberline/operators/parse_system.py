@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import rules
 from timberline.functions.text import capture, first_match, group, group_or_null, strip
+from timberline.operators.once import once
 from timberline.operators.positions import BLOCK_LINES, last_before
 
 # fixed values: line form; the time is RFC 3339 or BSD
@@ -18,7 +19,7 @@ SYSLOG_LINE = (
 
 
 def mark_traces(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Non-blank lines with ``starts_trace`` and ``trace_line`` (NULL outside a trace).
+    """Lines with ``starts_trace`` and ``trace_line`` (NULL outside a trace).
 
     A trace starts at a parsed kernel line with a start word. Lines after it
     that could continue it (no start word, ``kernel:`` in them, first
@@ -39,12 +40,11 @@ def mark_traces(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         (rules.service_category(group(g, 3)) == "kernel") & group(g, 5).rlike(rules.TRACE_START), F.lit(False)
     )).otherwise(False)
     could_continue = ~has_word & F.contains(text, F.lit("kernel:")) & ~capital
-    marked = (
-        lines.select("source", "line_no", strip(F.col("value")).alias("_text"))
-        .where(text != "")
-        .select("*", starts.alias("starts_trace"), could_continue.alias("_cont"))
+    marked = once(
+        lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
+        starts_trace=starts, _cont=could_continue,
     )
-    fence = F.when(~F.col("_cont"), F.when(F.col("starts_trace"), F.col("line_no")).otherwise(F.lit(-1)))
+    fence = F.when((text != "") & ~F.col("_cont"), F.when(F.col("starts_trace"), F.col("line_no")).otherwise(F.lit(-1)))
     carried = last_before(marked, fence.cast("bigint"), "_fence", block_lines)
     return carried.select(
         "source", "line_no", "_text", "starts_trace",
@@ -56,28 +56,30 @@ def parse_syslog(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """RFC 3339 or BSD syslog lines with severity, category, auth and anomaly findings.
 
     Only the raw text is shuffled (for the trace carry); it is parsed after
-    that. Blank lines are not in the output; :func:`blank_lines` counts them.
-    ``trace_line_count`` is 1 for a trace start; ``trace_line`` on swallowed
+    that. ``trace_line_count`` is 1 for a trace start; ``trace_line`` on swallowed
     lines allows counting the lines of each trace.
     """
     g, text = F.col("_g"), F.col("_text")
     message, process = group(g, 5), group(g, 3)
-    return (
-        mark_traces(lines, block_lines)
-        .withColumn("_g", F.when(F.col("trace_line").isNull(), capture(text, SYSLOG_LINE, 5)))
-        .select(
-            "source", "line_no", "trace_line", "starts_trace",
+    split = once(mark_traces(lines, block_lines),
+                 _g=F.when(F.col("trace_line").isNull(), capture(text, SYSLOG_LINE, 5)))
+    found = once(
+        split.select(
+            "source", "line_no", "trace_line", "starts_trace", (text == "").alias("blank"),
             group(g, 1).alias("timestamp"), group(g, 2).alias("hostname"), process.alias("process"),
             group_or_null(g, 4).try_cast("bigint").alias("pid"), message.alias("message"),
-            rules.syslog_severity(message).alias("_named"),
-            rules.is_auth_failure(message).alias("is_auth_failure"),
-            rules.anomaly_rule(message).alias("_rule"),
-        )
+        ),
+        _named=rules.syslog_severity(F.col("message")),
+        is_auth_failure=rules.is_auth_failure(F.col("message")),
+        _rule=rules.anomaly_rule(F.col("message")),
+    )
+    return (
+        found
         .withColumn("severity", F.when(F.col("message").isNull(), F.lit(None))
                     .when(F.col("is_auth_failure") & (F.col("_named") == "INFO"), "WARN")
                     .otherwise(F.col("_named")))
         .select(
-            "source", "line_no", F.col("message").isNotNull().alias("parsed"), F.lit(False).alias("blank"),
+            "source", "line_no", F.col("message").isNotNull().alias("parsed"), "blank",
             "timestamp", "hostname", "process", "pid", "message", "severity",
             F.when(F.col("message").isNotNull(), rules.service_category(F.col("process"))).alias("category"),
             "is_auth_failure",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from timberline.functions.clock import access_time, error_time
 from timberline.functions.numeric import to_int
 from timberline.functions.text import capture, first_match, group, group_or_null, strip
+from timberline.operators.once import once
 
 # fixed values: line forms
 ACCESS_LINE = (
@@ -36,7 +37,7 @@ def _unquoted(part):
 
 def _with_groups(lines: DataFrame, pattern: str, groups: int) -> DataFrame:
     text = lines.select("source", "line_no", strip(F.col("value")).alias("_text"))
-    return text.withColumn("_g", capture(F.col("_text"), pattern, groups))
+    return once(text, _g=capture(F.col("_text"), pattern, groups))
 
 
 def parse_access(lines: DataFrame) -> DataFrame:

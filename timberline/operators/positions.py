@@ -11,19 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timberline.operators.once import all_of
+
 BLOCK_LINES = 131_072
 
 
 def _with_block(df: DataFrame, block_lines: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col("line_no") / block_lines))
+    """Rows placed by block. The block totals and the windows both read this one shuffle."""
+    blocked = df.withColumn("_block", F.floor(F.col("line_no") / block_lines))
+    placed = F.col("source").isNotNull() & F.col("_block").isNotNull()
+    return blocked.where(placed).repartition("source", "_block")
+
 
+def entry_index(entries: DataFrame, block_lines: int = BLOCK_LINES, with_total: bool = False) -> DataFrame:
+    """Add ``entry_idx``: position from 0 among the given rows of each source.
 
-def entry_index(entries: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Add ``entry_idx``: position from 0 among the given rows of each source."""
+    ``with_total`` also adds ``entry_total``, the number of rows of the source.
+    """
     blocked = _with_block(entries, block_lines)
-    counts = blocked.groupBy("source", "_block").agg(F.count("*").alias("_n"))
+    counts = blocked.groupBy("source", "_block").agg(F.count_if(all_of(*blocked.columns)).alias("_n"))
     earlier = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("source", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    starts = counts.select(
+        "source", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(W.partitionBy("source")).alias("entry_total")] if with_total else []),
+    )
     inside = W.partitionBy("source", "_block").orderBy("line_no")
     return (
         blocked.join(starts, ["source", "_block"])
@@ -34,9 +45,9 @@ def entry_index(entries: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame
 
 def last_before(lines: DataFrame, value: Column, name: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Add the latest non-NULL ``value`` of the lines before each line of its source."""
-    blocked = _with_block(lines, block_lines).withColumn("_v", value)
-    ends = blocked.groupBy("source", "_block").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line_no"))).alias("_end"))
+    blocked = _with_block(lines.withColumn("_v", value), block_lines)
+    at = F.when(F.col("_v").isNotNull() & all_of(*blocked.columns), F.col("line_no"))
+    ends = blocked.groupBy("source", "_block").agg(F.max_by("_v", at).alias("_end"))
     earlier = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("source", "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     inside = W.partitionBy("source", "_block").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
@@ -45,3 +56,14 @@ def last_before(lines: DataFrame, value: Column, name: str, block_lines: int = B
         .withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carried")))
         .drop("_block", "_v", "_carried")
     )
+
+
+def indexed_rows(entries: DataFrame, keep: Column, columns: dict[str, Column]) -> DataFrame:
+    """Chosen columns of the rows where ``keep`` holds, with their ``entry_idx``.
+
+    All rows take part in the numbering, but rows that are not kept travel
+    without their columns.
+    """
+    payload = F.struct(*[c.alias(n) for n, c in columns.items()])
+    slim = entries.select("source", "line_no", F.when(keep, payload).alias("_p"))
+    return entry_index(slim).where(F.col("_p").isNotNull()).select("source", "line_no", "_p.*", "entry_idx")

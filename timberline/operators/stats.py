@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.functions.numeric import exact_total, round_exact
+from timberline.functions.numeric import round_exact
+from timberline.operators.once import all_of
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 _STEPS_PER_OCTAVE = 64.0
@@ -58,7 +59,7 @@ def _ranked_buckets(counts: DataFrame, keys: Sequence[str],
     value, weight = F.col("_v"), F.col("_c")
     has = value.isNotNull()
     per_bucket = counts.groupBy(*keys, "_b").agg(
-        F.sum(F.when(has, weight).otherwise(0)).alias("_n"),
+        F.sum(F.when(has & all_of(*counts.columns), weight).otherwise(0)).alias("_n"),
         F.sum(weight).alias("_rows"),
         F.sum((value.try_cast("decimal(19,9)") * weight.cast("decimal(18,0)"))).alias("_exact"),
         (F.count(value) - F.count(value.try_cast("decimal(19,9)"))).alias("_inexact"),
@@ -88,7 +89,7 @@ def pick_ranks(counts: DataFrame, buckets: DataFrame, keys: Sequence[str], targe
     ).where(F.size("_t") > 0)
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = (
-        counts.where(F.col("_valued") > 0).select(*keys, "_b", "_v", "_c").join(wanted, [*keys, "_b"])
+        counts.where((F.col("_valued") > 0) & all_of(*counts.columns)).select(*keys, "_b", "_v", "_c").join(wanted, [*keys, "_b"])
         .withColumn("_upto", F.col("_base") + F.sum("_c").over(inside))
     )
     below, upto = F.col("_upto") - F.col("_c"), F.col("_upto")

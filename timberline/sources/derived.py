@@ -11,8 +11,7 @@ double, so the text is the same in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,138 +19,104 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_type")
-    return events(spark, sf_dir).select(
-        "event_id", "user_id", "ts", "event_type",
-        F.rint(F.col("value") * 100).cast("bigint").alias("cents"),
-        F.concat(F.lit("10.0."), (F.col("user_id") % 7).cast("string"), F.lit("."),
-                 F.col("user_id").cast("string")).alias("ip"),
-        F.when(e == "purchase", "POST").when(e == "signup", "PUT").otherwise("GET").alias("method"),
-        F.when(e == "error", F.lit(500) + F.col("event_id") % 4)
-        .when(F.col("event_id") % 11 == 0, 404).otherwise(200).alias("status"),
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS i", "user_id AS u", "ts", "event_type AS e",
+        "cast(rint(value * 100) AS bigint) AS cents",
+        "concat('10.0.', user_id % 7, '.', user_id) AS ip",
+        "CASE event_type WHEN 'purchase' THEN 'POST' WHEN 'signup' THEN 'PUT' ELSE 'GET' END AS method",
+        "CASE WHEN event_type = 'error' THEN 500 + event_id % 4 WHEN event_id % 11 = 0 THEN 404 ELSE 200 END AS status",
     )
 
 
-def _decimal(units: Column, places: int) -> Column:
-    """Whole units of 10**-places as decimal text."""
-    whole = F.floor(units / F.lit(10**places)).cast("string")
-    return F.concat(whole, F.lit("."), F.lpad((units % F.lit(10**places)).cast("string"), places, "0"))
+def _decimal(units: str, places: int) -> str:
+    """SQL for whole units of 10**-places as decimal text."""
+    scale = 10**places
+    return f"concat(({units}) div {scale}, '.', lpad(({units}) % {scale}, {places}, '0'))"
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _lines(df: DataFrame, source: str | Column, value: Column) -> DataFrame:
-    src = F.lit(source) if isinstance(source, str) else source
-    return df.select(src.alias("source"), F.col("event_id").alias("line_no"), value.alias("value"))
+def _lines(df: DataFrame, source: str, value: str) -> DataFrame:
+    return df.selectExpr(f"{source} AS source", "i AS line_no", f"{value} AS value")
 
 
 def access_lines(spark: SparkSession, sf_dir: str, by_host: bool = False) -> DataFrame:
     """Web-server access lines; ``by_host`` spreads them over three sources."""
-    b = _base(spark, sf_dir)
-    i, cents = F.col("event_id"), F.col("cents")
-    size = F.when(i % 13 == 0, "-").otherwise((i * 37 % 10000).cast("string"))
-    timing = F.when(i % 5 == 0, "").otherwise(_text(
-        ' "-" "ua/1.0" rt=', _decimal(cents, 3),
-        F.when(i % 7 == 0, "").otherwise(_text(
-            " urt=", _decimal(cents * 5, 4), " uht=", _decimal(cents * 2, 4), " uct=", _decimal(cents, 5))),
-    ))
-    line = _text(
-        F.col("ip"), " - - [", F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), ' +0000] "', F.col("method"),
-        " /api/", F.col("event_type"), "/", i % 23, ' HTTP/1.1" ', F.col("status"), " ", size, timing,
-    )
-    value = F.when(i % 97 == 0, _text("garbage ", i)).when(i % 101 == 0, "   ").otherwise(line)
-    source = _text("web", F.col("user_id") % 3, ".log") if by_host else "access.log"
-    return _lines(b, source, value)
+    timing = f"""CASE WHEN i % 5 = 0 THEN '' ELSE concat(' "-" "ua/1.0" rt=', {_decimal('cents', 3)},
+        CASE WHEN i % 7 = 0 THEN '' ELSE concat(' urt=', {_decimal('cents * 5', 4)}, ' uht=',
+        {_decimal('cents * 2', 4)}, ' uct=', {_decimal('cents', 5)}) END) END"""
+    value = f"""CASE WHEN i % 97 = 0 THEN concat('garbage ', i) WHEN i % 101 = 0 THEN '   ' ELSE
+        concat(ip, ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "', method, ' /api/', e, '/', i % 23,
+        ' HTTP/1.1" ', status, ' ', CASE WHEN i % 13 = 0 THEN '-' ELSE string(i * 37 % 10000) END, {timing}) END"""
+    source = "concat('web', u % 3, '.log')" if by_host else "'access.log'"
+    return _lines(_base(spark, sf_dir), source, value)
 
 
 def error_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
-    i = F.col("event_id")
-    level = F.when(i % 5 == 0, "crit").when(i % 5 < 3, "error").otherwise("warn")
-    tail = F.when(i % 17 == 0, "accept() failed (24: Too many open files)").otherwise(
-        _text("upstream timed out (110) while reading, client: ", F.col("ip"), ", server: s", i % 3))
-    cid = F.when(i % 6 == 0, "").otherwise(_text(" *", i))
-    line = _text(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), " [", level, "] ", F.col("user_id"), "#",
-                 i % 16, ":", cid, " ", tail)
-    return _lines(b, "error.log", F.when(i % 89 == 0, _text("broken ", i)).otherwise(line))
+    value = """CASE WHEN i % 89 = 0 THEN concat('broken ', i) ELSE
+        concat(date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ' [',
+        CASE WHEN i % 5 = 0 THEN 'crit' WHEN i % 5 < 3 THEN 'error' ELSE 'warn' END, '] ', u, '#', i % 16, ':',
+        CASE WHEN i % 6 = 0 THEN '' ELSE concat(' *', i) END, ' ',
+        CASE WHEN i % 17 = 0 THEN 'accept() failed (24: Too many open files)' ELSE
+        concat('upstream timed out (110) while reading, client: ', ip, ', server: s', i % 3) END) END"""
+    return _lines(_base(spark, sf_dir), "'error.log'", value)
 
 
 def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
-    i, e = F.col("event_id"), F.col("event_type")
-    level = (F.when(e == "error", "ERROR").when(e == "signup", "WARNING").when(e == "view", "DEBUG")
-             .when(e == "click", "note").otherwise("INFO"))
-    stream = F.when(e == "error", "stderr").otherwise("stdout")
-    flag = F.when(i % 4 == 0, "").otherwise(" F")
-    text = _text(level, " worker ", F.col("user_id"), " handled deadbeef ", i % 50)
-    line = _text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), ".000Z ", stream, flag, " ", text)
-    plain = _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " [", level, "] started ", i % 10)
-    value = F.when(i % 83 == 0, "no time here").when(i % 9 == 0, plain).otherwise(line)
-    return _lines(b, "pod.log", value)
+    level = """CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' WHEN 'view' THEN 'DEBUG'
+        WHEN 'click' THEN 'note' ELSE 'INFO' END"""
+    value = f"""CASE WHEN i % 83 = 0 THEN 'no time here'
+        WHEN i % 9 = 0 THEN concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' [', {level}, '] started ', i % 10)
+        ELSE concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '.000Z ',
+        CASE WHEN e = 'error' THEN 'stderr' ELSE 'stdout' END, CASE WHEN i % 4 = 0 THEN '' ELSE ' F' END, ' ',
+        {level}, ' worker ', u, ' handled deadbeef ', i % 50) END"""
+    return _lines(_base(spark, sf_dir), "'pod.log'", value)
 
 
 def api_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
-    i, e = F.col("event_id"), F.col("event_type")
-    level = F.when(e == "error", "ERROR").when(e == "signup", "warning").otherwise("info")
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    status = (F.when(i % 10 == 0, "null").when(i % 10 == 1, _text('"', F.col("status"), '"'))
-              .when(i % 10 == 2, _text(F.col("status"), ".7")).when(i % 10 == 3, '"200.5"')
-              .otherwise(F.col("status").cast("string")))
-    duration = F.when(i % 8 == 0, "").otherwise(_text(',"duration":', _decimal(F.col("cents") * 10, 3)))
-    method = F.when(i % 12 == 0, "").otherwise(_text(',"http_method":"', F.col("method"), '"'))
-    json = _text('{"time":"', stamp, 'Z","level":"","severity":"', level, '"', method, ',"url":"/api/', e, "/", i % 23,
-                 '","status":', status, duration, ',"msg":"m', i % 9, '","req_id":"r', i, '","shard":', i % 5, "}")
-    plain = _text(stamp, "Z [", F.upper(level), "] plain ", i % 6)
-    value = (F.when(i % 79 == 0, '{"broken": ').when(i % 19 == 0, plain).when(i % 103 == 0, "nothing to see")
-             .otherwise(json))
-    return _lines(b, "api.log", value)
+    level = "CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'warning' ELSE 'info' END"
+    stamp = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    value = f"""CASE WHEN i % 79 = 0 THEN '{{"broken": ' WHEN i % 103 = 0 THEN 'nothing to see'
+        WHEN i % 19 = 0 THEN concat({stamp}, 'Z [', upper({level}), '] plain ', i % 6)
+        ELSE concat('{{"time":"', {stamp}, 'Z","level":"","severity":"', {level}, '"',
+        CASE WHEN i % 12 = 0 THEN '' ELSE concat(',"http_method":"', method, '"') END,
+        ',"url":"/api/', e, '/', i % 23, '","status":',
+        CASE i % 10 WHEN 0 THEN 'null' WHEN 1 THEN concat('"', status, '"') WHEN 2 THEN concat(status, '.7')
+        WHEN 3 THEN '"200.5"' ELSE string(status) END,
+        CASE WHEN i % 8 = 0 THEN '' ELSE concat(',"duration":', {_decimal('cents * 10', 3)}) END,
+        ',"msg":"m', i % 9, '","req_id":"r', i, '","shard":', i % 5, '}}') END"""
+    return _lines(_base(spark, sf_dir), "'api.log'", value)
 
 
 def database_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
-    i, e, cents = F.col("event_id"), F.col("event_type"), F.col("cents")
-    verb = (F.when(i % 6 == 0, _text("UPDATE items SET n = ", i, " WHERE id IN (1, 2, ", i, ")"))
-            .when(i % 6 == 1, "COMMIT")
-            .when(i % 6 == 2, _text("INSERT INTO audit VALUES ('u", F.col("user_id"), "', ", i, ")"))
-            .otherwise(_text("SELECT * FROM t", i % 4, " WHERE id = ", i)))
-    body = (
-        F.when((e == "error") & (i % 3 == 0), _text("ERROR:  deadlock detected by process ", i))
-        .when(e == "error", _text('ERROR:  relation "t', i % 7, '" does not exist'))
-        .when((e == "signup") & (i % 4 == 0), _text('WARNING:  pool "p', i % 3, '" has ', i % 40, " waiters"))
-        .when((e == "signup") & (i % 4 == 1), _text("LOG:  replication lag: ", _decimal(cents, 2), " ",
-                                                    F.when(i % 8 == 1, "s").otherwise("MB")))
-        .when(e == "signup", _text("LOG:  checkpoint complete: wrote ", i % 900, " buffers; write=",
-                                   _decimal(cents, 3), " s, sync=", _decimal(cents * 5, 4), " s, total=",
-                                   _decimal(cents * 2, 3), " s"))
-        .when(e == "view", _text('LOG:  autovacuum: for table "public.t', i % 5, '": ', i % 50,
-                                 " dead tuples, ", i % 70, " live tuples"))
-        .when(i % 10 == 3, _text("LOG:  statement: ", verb))
-        .when(i % 10 == 7, _text("LOG:  duration: ", _decimal(cents * 100, 3), " ms"))
-        .otherwise(_text("LOG:  duration: ", _decimal(cents * 100, 3), " ms  statement: ", verb))
-    )
-    line = _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), ".000 UTC [", F.col("user_id") % 40, "] ", body)
-    value = F.when(i % 71 == 0, "psql: junk").when(i % 73 == 0, "LOG:  starting").otherwise(line)
-    return _lines(b, "postgresql.log", value)
+    verb = """CASE i % 6 WHEN 0 THEN concat('UPDATE items SET n = ', i, ' WHERE id IN (1, 2, ', i, ')')
+        WHEN 1 THEN 'COMMIT' WHEN 2 THEN concat('INSERT INTO audit VALUES (''u', u, ''', ', i, ')')
+        ELSE concat('SELECT * FROM t', i % 4, ' WHERE id = ', i) END"""
+    body = f"""CASE WHEN e = 'error' AND i % 3 = 0 THEN concat('ERROR:  deadlock detected by process ', i)
+        WHEN e = 'error' THEN concat('ERROR:  relation "t', i % 7, '" does not exist')
+        WHEN e = 'signup' AND i % 4 = 0 THEN concat('WARNING:  pool "p', i % 3, '" has ', i % 40, ' waiters')
+        WHEN e = 'signup' AND i % 4 = 1 THEN concat('LOG:  replication lag: ', {_decimal('cents', 2)}, ' ',
+            CASE WHEN i % 8 = 1 THEN 's' ELSE 'MB' END)
+        WHEN e = 'signup' THEN concat('LOG:  checkpoint complete: wrote ', i % 900, ' buffers; write=',
+            {_decimal('cents', 3)}, ' s, sync=', {_decimal('cents * 5', 4)}, ' s, total=', {_decimal('cents * 2', 3)}, ' s')
+        WHEN e = 'view' THEN concat('LOG:  autovacuum: for table "public.t', i % 5, '": ', i % 50,
+            ' dead tuples, ', i % 70, ' live tuples')
+        WHEN i % 10 = 3 THEN concat('LOG:  statement: ', {verb})
+        WHEN i % 10 = 7 THEN concat('LOG:  duration: ', {_decimal('cents * 100', 3)}, ' ms')
+        ELSE concat('LOG:  duration: ', {_decimal('cents * 100', 3)}, ' ms  statement: ', {verb}) END"""
+    value = f"""CASE WHEN i % 71 = 0 THEN 'psql: junk' WHEN i % 73 = 0 THEN 'LOG:  starting' ELSE
+        concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '.000 UTC [', u % 40, '] ', {body}) END"""
+    return _lines(_base(spark, sf_dir), "'postgresql.log'", value)
 
 
 def system_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
-    i, e, user = F.col("event_id"), F.col("event_type"), F.col("user_id")
-    body = (
-        F.when(e == "error", _text("sshd[", user + 1000, "]: Failed password for invalid user u", i % 12,
-                                   " from ", F.col("ip"), " port ", i % 60000, " ssh2"))
-        .when(e == "signup", _text("kernel: WARNING: CPU ", i % 8, " at drivers/gpu/drm"))
-        .when(e == "view", _text("kernel: trace line ", i))
-        .when(e == "click", _text("CRON[", i, "]: session opened for job ", i % 5))
-        .otherwise(_text("app[", user, "]: level=error out of memory in pool ", i % 6))
-    )
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    value = F.when(i % 67 == 0, "-- mark --").when(i % 59 == 0, "").otherwise(
-        _text(stamp, " host", user % 3, " ", body))
-    return _lines(b, "syslog", value)
+    body = """CASE e WHEN 'error' THEN concat('sshd[', u + 1000, ']: Failed password for invalid user u', i % 12,
+            ' from ', ip, ' port ', i % 60000, ' ssh2')
+        WHEN 'signup' THEN concat('kernel: WARNING: CPU ', i % 8, ' at drivers/gpu/drm')
+        WHEN 'view' THEN concat('kernel: trace line ', i)
+        WHEN 'click' THEN concat('CRON[', i, ']: session opened for job ', i % 5)
+        ELSE concat('app[', u, ']: level=error out of memory in pool ', i % 6) END"""
+    value = f"""CASE WHEN i % 67 = 0 THEN '-- mark --' WHEN i % 59 = 0 THEN '' ELSE
+        concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), ' host', u % 3, ' ', {body}) END"""
+    return _lines(_base(spark, sf_dir), "'syslog'", value)
 
 
 CSV_HEADER = "timestamp,level,ip,path,http_method,status,duration,bytes,user,message,zone"
@@ -159,17 +124,14 @@ CSV_HEADER = "timestamp,level,ip,path,http_method,status,duration,bytes,user,mes
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV rows; the header is line 0, so event ``i`` is line ``i + 1``."""
-    b = _base(spark, sf_dir)
-    i, e = F.col("event_id"), F.col("event_type")
-    level = (F.when(e == "error", "ERROR").when(e == "signup", "WARN").when(e == "view", "").otherwise("INFO"))
-    duration = F.when(i % 8 == 0, "n/a").otherwise(_decimal(F.col("cents") * 10, 3))
-    row = _text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), ",", level, ",", F.col("ip"), ",/api/", e, ",",
-                F.col("method"), ", ", F.col("status"), " ,", duration, ",", i * 37 % 10000, ",u",
-                F.col("user_id") % 20, ',"a ""q"", ', i % 6, '",z', i % 3)
-    value = F.when(i % 61 == 0, ",,,,").when(i % 53 == 0, "").otherwise(row)
-    header = spark.range(1).select(
-        F.lit("table.csv").alias("source"), F.lit(0).cast("bigint").alias("line_no"), F.lit(CSV_HEADER).alias("value"))
-    rows = b.select(F.lit("table.csv").alias("source"), (i + 1).alias("line_no"), value.alias("value"))
+    value = f"""CASE WHEN i % 61 = 0 THEN ',,,,' WHEN i % 53 = 0 THEN '' ELSE
+        concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',',
+        CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN '' ELSE 'INFO' END, ',', ip,
+        ',/api/', e, ',', method, ', ', status, ' ,',
+        CASE WHEN i % 8 = 0 THEN 'n/a' ELSE {_decimal('cents * 10', 3)} END, ',', i * 37 % 10000, ',u', u % 20,
+        ',"a ""q"", ', i % 6, '",z', i % 3) END"""
+    header = spark.range(1).selectExpr("'table.csv' AS source", "bigint(0) AS line_no", f"'{CSV_HEADER}' AS value")
+    rows = _base(spark, sf_dir).selectExpr("'table.csv' AS source", "i + 1 AS line_no", f"{value} AS value")
     return header.unionByName(rows)
 
 

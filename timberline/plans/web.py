@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,11 +187,11 @@ def error_levels(df: DataFrame, o: Options) -> DataFrame:
     return table.orderBy(*o.by, "severity", F.col("count").desc())
 
 
-def _messages(name: str, text: Column):
+def _messages(name: str, text: Callable[[], Column]) -> Output:
     def output(df: DataFrame, o: Options) -> DataFrame:
         counts = fq.frequencies(entries(df, o.exclude), digits_to_n(F.col("message")), o.by, "_m", "_c")
         count = "value" if name == "label" else "count"
-        return counts.select(*o.by, text.alias(name), F.col("_c").alias(count))
+        return counts.select(*o.by, text().alias(name), F.col("_c").alias(count))
     return output
 
 
@@ -199,9 +201,9 @@ ERROR: dict[str, Output] = {
     "charts.hourly_timeline": lambda d, o: fq.timeline(
         entries(d, o.exclude), hour_key(F.col("timestamp")), o.by),
     "charts.top_clients": frequency_chart(lambda: F.nullif(F.col("client"), F.lit(""))),
-    "charts.top_messages": _messages("label", shorten(F.col("_m"))),
+    "charts.top_messages": _messages("label", lambda: shorten(F.col("_m"))),
     "tables.levels": error_levels,
     "tables.top_clients": lambda d, o: fq.shares(
         entries(d, o.exclude), F.nullif(F.col("client"), F.lit("")), o.by, "client"),
-    "tables.top_messages": _messages("message", F.left(F.col("_m"), F.lit(120))),
+    "tables.top_messages": _messages("message", lambda: F.left(F.col("_m"), F.lit(120))),
 }

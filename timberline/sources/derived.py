@@ -5,6 +5,7 @@ lines as the table has rows, with known values behind each line, so a parsed
 result can be checked against the columns it was written from. Some events
 become garbage, blank lines or lines with missing parts.
 
+The first lines of each log are regular enough for its type to be detected.
 Decimals are written from whole hundredths (``cents``), never by formatting a
 double, so the text is the same in every engine.
 """
@@ -64,7 +65,7 @@ def container_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = """CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' WHEN 'view' THEN 'DEBUG'
         WHEN 'click' THEN 'note' ELSE 'INFO' END"""
     value = f"""CASE WHEN i % 83 = 0 THEN 'no time here'
-        WHEN i % 9 = 0 THEN concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' [', {level}, '] started ', i % 10)
+        WHEN i % 9 = 0 AND i > 60 THEN concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' [', {level}, '] started ', i % 10)
         ELSE concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), '.000Z ',
         CASE WHEN e = 'error' THEN 'stderr' ELSE 'stdout' END, CASE WHEN i % 4 = 0 THEN '' ELSE ' F' END, ' ',
         {level}, ' worker ', u, ' handled deadbeef ', i % 50) END"""
@@ -126,7 +127,8 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV rows; the header is line 0, so event ``i`` is line ``i + 1``."""
     value = f"""CASE WHEN i % 61 = 0 THEN ',,,,' WHEN i % 53 = 0 THEN '' ELSE
         concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',',
-        CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN '' ELSE 'INFO' END, ',', ip,
+        CASE WHEN e = 'error' THEN 'ERROR' WHEN e = 'signup' THEN 'WARN' WHEN e = 'view' AND i > 60 THEN '' ELSE 'INFO' END,
+        ',', ip,
         ',/api/', e, ',', method, ', ', status, ' ,',
         CASE WHEN i % 8 = 0 THEN 'n/a' ELSE {_decimal('cents * 10', 3)} END, ',', i * 37 % 10000, ',u', u % 20,
         ',"a ""q"", ', i % 6, '",z', i % 3) END"""

@@ -460,7 +460,7 @@ UNION ALL SELECT 'table.csv', 'csv', (n + 1) / 50.0::DOUBLE, 'api_backend:' || n
 
 def _scores(df: DataFrame) -> DataFrame:
     return df.withColumn("scores", F.array_join(F.transform(
-        "scores", lambda s: F.concat_ws(":", s["type"], s["score"].cast("string"))), ","))
+        "scores", lambda s: F.concat_ws(":", s["type"], s["score"].cast("string"))), ",")).drop("filled")
 
 
 add("detect_types", lambda s, d: _scores(detect_types(derived.all_lines(s, d))), x.query(x.BASE, _DETECTED))

@@ -102,14 +102,14 @@ log AS (
         || ' s, total=' || printf('%.3f', CAST(cents * 2 AS DOUBLE) / 1000) || ' s'
       WHEN 'autovacuum' THEN 'autovacuum: for table "public.t' || (i % 5) || '": ' || (i % 50) || ' dead tuples, '
         || (i % 70) || ' live tuples'
-      WHEN 'duration' THEN 'duration: ' || printf('%.3f', CAST(cents AS DOUBLE) / 10) || ' ms'
+      WHEN 'duration' THEN 'duration: ' || printf('%.3f', CAST(cents * 1007 AS DOUBLE) / 1000) || ' ms'
       ELSE CASE WHEN i % 10 = 3 THEN 'statement: ' || sql
-        ELSE 'duration: ' || printf('%.3f', CAST(cents AS DOUBLE) / 10) || ' ms  statement: ' || sql END END AS message,
+        ELSE 'duration: ' || printf('%.3f', CAST(cents * 1007 AS DOUBLE) / 1000) || ' ms  statement: ' || sql END END AS message,
     CASE WHEN event = 'statement' THEN
       CASE i % 6 WHEN 0 THEN 'items' WHEN 1 THEN NULL WHEN 2 THEN 'audit' ELSE 't' || (i % 4) END END AS tbl,
     CASE WHEN event = 'statement' THEN
       CASE i % 6 WHEN 0 THEN 'UPDATE' WHEN 1 THEN 'COMMIT' WHEN 2 THEN 'INSERT' ELSE 'SELECT' END END AS stmt_type,
-    CASE WHEN event = 'duration' OR (event = 'statement' AND i % 10 <> 3) THEN CAST(cents AS DOUBLE) / 10 END AS duration_ms,
+    CASE WHEN event = 'duration' OR (event = 'statement' AND i % 10 <> 3) THEN CAST(cents * 1007 AS DOUBLE) / 1000 END AS duration_ms,
     CASE WHEN event = 'statement' THEN shape END AS normalized,
     CASE WHEN event = 'autovacuum' THEN 'public.t' || (i % 5) END AS vacuum_table,
     CASE WHEN event = 'autovacuum' THEN i % 50 END AS dead_tuples,

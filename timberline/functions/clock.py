@@ -23,38 +23,43 @@ def _month(name: Column) -> Column:
     return _two_digits(F.call_function("find_in_set", name, F.lit(MONTHS)))
 
 
+def _words(ts: Column) -> Column:
+    """Words of a timestamp text (a single-blank split needs no regex per row)."""
+    return F.split(F.regexp_replace(F.trim(ts), r"\s+", " "), " ")
+
+
+def _slashes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+
+
 def access_time(ts: Column) -> Column:
     """``18/Jul/2025:14:30:00 +0500`` -> ``2025-07-18T14:30:00``; other text unchanged."""
-    words = F.split(ts, r"\s+")
-    parts = F.split(F.get(words, F.lit(0)), "/")
-    last = F.get(parts, F.lit(2))
+    text = F.trim(F.translate(ts, "\t", " "))
+    date = F.substring_index(text, " ", 1)
+    day = F.substring_index(date, "/", 1)
+    month = F.substring_index(F.substring_index(date, "/", 2), "/", -1)
+    last = F.substring_index(date, "/", -1)
     joined = F.instr(last, ":") > 0
-    year = F.when(joined, F.substring_index(last, ":", 1)).otherwise(last)
-    time = F.when(joined, F.substr(last, F.instr(last, ":") + 1)).otherwise(F.get(words, F.lit(1)))
-    day = F.get(parts, F.lit(0))
+    year = F.substring_index(last, ":", 1)
+    time = F.when(joined, F.substr(last, F.instr(last, ":") + 1)).otherwise(F.get(_words(text), F.lit(1)))
     iso = F.concat(
-        year, F.lit("-"), _month(F.get(parts, F.lit(1))), F.lit("-"),
-        _two_digits(day.try_cast("int")), F.lit("T"), time,
-    )
-    ok = (F.size(words) >= 2) & (F.size(parts) == 3) & day.rlike("^[0-9]{1,9}$")
+        year, F.lit("-"), _month(month), F.lit("-"), _two_digits(day.try_cast("int")), F.lit("T"), time)
+    ok = (F.instr(text, " ") > 0) & (_slashes(date) == 2) & day.rlike("^[0-9]{1,9}$")
     return F.when(ok, iso).otherwise(ts)
 
 
 def error_time(ts: Column) -> Column:
     """``2025/07/18 14:30:00`` or ``18/Jul/2025 14:30:00`` -> ISO text; other text unchanged."""
-    words = F.split(ts, r"\s+")
-    parts = F.split(F.get(words, F.lit(0)), "/")
+    text = F.trim(F.translate(ts, "\t", " "))
+    date = F.substring_index(text, " ", 1)
+    parts = F.split(date, "/")
     a, b, c = (F.get(parts, F.lit(i)) for i in range(3))
+    time = F.get(_words(text), F.lit(1))
     year_first = F.concat(
-        a, F.lit("-"), _two_digits(b.try_cast("int")), F.lit("-"), _two_digits(c.try_cast("int")),
-        F.lit("T"), F.get(words, F.lit(1)),
-    )
-    day_first = F.concat(
-        c, F.lit("-"), _month(b), F.lit("-"), _two_digits(a.try_cast("int")),
-        F.lit("T"), F.get(words, F.lit(1)),
-    )
+        a, F.lit("-"), _two_digits(b.try_cast("int")), F.lit("-"), _two_digits(c.try_cast("int")), F.lit("T"), time)
+    day_first = F.concat(c, F.lit("-"), _month(b), F.lit("-"), _two_digits(a.try_cast("int")), F.lit("T"), time)
     iso = F.when(a.rlike("^[0-9]{4}$"), year_first).otherwise(day_first)
-    ok = (F.size(words) >= 2) & (F.size(parts) == 3)
+    ok = (F.instr(text, " ") > 0) & (_slashes(date) == 2)
     return F.when(ok, F.coalesce(iso, ts)).otherwise(ts)
 
 
@@ -72,7 +77,7 @@ def hour_key(ts: Column) -> Column:
     after = F.get(F.split(ts, "T"), F.lit(1))
     hour = F.when(F.length(after) >= 2, F.left(after, F.lit(2))).otherwise("00")
     iso = F.concat(F.substring_index(ts, "T", 1), F.lit(" "), hour, F.lit(":00"))
-    words = F.split(F.trim(ts), r"\s+")
+    words = _words(ts)
     clock = F.when(F.size(words) >= 3, F.get(words, F.lit(2))).when(F.size(words) == 2, F.get(words, F.lit(1)))
     bare = F.when(F.length(clock) >= 2, F.concat(F.left(clock, F.lit(2)), F.lit(":00")))
     return F.coalesce(F.when(_date_t_time(ts), iso).otherwise(bare), F.lit("unknown"))
@@ -83,7 +88,7 @@ def database_hour_key(ts: Column) -> Column:
     after = F.substr(ts, F.instr(ts, "T") + 1)
     iso_hour = F.when(F.length(after) >= 2, F.left(after, F.lit(2))).otherwise("00")
     iso = F.concat(F.substring_index(ts, "T", 1), F.lit(" "), iso_hour, F.lit(":00"))
-    words = F.split(F.trim(ts), r"\s+")
+    words = _words(ts)
     second = F.get(words, F.lit(1))
     hour = F.when(F.length(second) >= 2, F.left(second, F.lit(2))).otherwise("00")
     bare = F.when(F.size(words) >= 2, F.concat(F.get(words, F.lit(0)), F.lit(" "), hour, F.lit(":00")))
@@ -92,7 +97,7 @@ def database_hour_key(ts: Column) -> Column:
 
 def day_key(ts: Column) -> Column:
     """Label of the day, ``unknown`` when the text has no ISO date in front."""
-    words = F.split(F.trim(ts), r"\s+")
+    words = _words(ts)
     first = F.get(words, F.lit(0))
     dashes = F.length(first) - F.length(F.replace(first, F.lit("-"), F.lit("")))
     bare = (

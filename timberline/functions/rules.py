@@ -36,11 +36,9 @@ SEVERITY_FIELD = (
     r"(debug|info|notice|warning|warn|error|err|crit|fatal|panic)"
 )
 
-# fixed values: texts that mark a failed authentication
-AUTH_FAILURE = (
-    r"(?i)Failed password|authentication failure|invalid user|connection closed.*preauth"
-    r"|not valid|refused|failed|unauthorized"
-)
+# fixed values: texts that mark a failed authentication (lower case), and one pattern
+AUTH_FAILURE = ["authentication failure", "invalid user", "not valid", "refused", "failed", "unauthorized"]
+AUTH_CLOSED = r"(?i)connection closed.*preauth"
 SOURCE_IP = r"(?:(?:from|for|client)\s+)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
 TARGET_USER = r"(?:user|from)\s+(\S+)"
 
@@ -61,11 +59,9 @@ SERVICE_CATEGORIES = {
                 "gjs", "Xorg", "xdg-desktop-portal"],
 }
 
-# fixed values: words that open a kernel trace
-TRACE_START = (
-    r"(?i)(?:WARNING:|BUG:|Call Trace:|---\[ cut here \]|Modules linked in:|"
-    r"RIP:|Code:|Hardware name:|Tainted:|Workqueue:)"
-)
+# fixed values: words that open a kernel trace (lower case)
+TRACE_START = ["warning:", "bug:", "call trace:", "---[ cut here ]", "modules linked in:", "rip:", "code:",
+               "hardware name:", "tainted:", "workqueue:"]
 
 # fixed values: anomaly type, text the pattern cannot match without (lower case),
 # pattern, description, in order
@@ -139,41 +135,48 @@ def level_from_words(text: Column, with_trace: bool = True) -> Column:
     return F.coalesce(first_rule(text, rules), F.lit("UNKNOWN"))
 
 
-def syslog_severity(message: Column) -> Column:
+def any_text(low: Column, texts: list[str]) -> Column:
+    """Whether a lower-cased text holds any of the given texts (plain substring search, no regex)."""
+    out = None
+    for t in texts:
+        hit = F.contains(low, F.lit(t))
+        out = hit if out is None else out | hit
+    return out
+
+
+def syslog_severity(message: Column, low: Column) -> Column:
     """Severity of a syslog message; INFO when nothing in it names one.
 
-    One cheap test for any of the level words comes first, since most
-    messages carry none of them.
+    ``low`` is the message in lower case. Substring tests for the level words
+    come first, since most messages carry none of them.
     """
     named = F.upper(first_match(message, SEVERITY_FIELD))
     field = F.when(named == "ERR", "ERROR").otherwise(named)
-    any_word = message.rlike(r"(?i)panic|fatal|level|error|warn|debug|lvl|severity")
-    return F.when(any_word, F.coalesce(first_rule(message, SEVERITY_WORDS), field, F.lit("INFO"))).otherwise("INFO")
+    # fixed values: a text without any of these has no severity word
+    some_word = any_text(low, ["panic", "fatal", "level", "error", "warn", "debug", "lvl", "severity"])
+    return F.when(some_word, F.coalesce(first_rule(message, SEVERITY_WORDS), field, F.lit("INFO"))).otherwise("INFO")
 
 
 def service_category(process: Column) -> Column:
     low = F.lower(process)
     out = None
     for category, words in SERVICE_CATEGORIES.items():
-        cond = None
-        for word in words:
-            hit = F.contains(low, F.lit(word.lower()))
-            cond = hit if cond is None else cond | hit
+        cond = any_text(low, [w.lower() for w in words])
         out = F.when(cond, category) if out is None else out.when(cond, category)
     return out.otherwise("other")
 
 
-def is_auth_failure(message: Column) -> Column:
-    return message.rlike(AUTH_FAILURE)
+def is_auth_failure(message: Column, low: Column) -> Column:
+    closed = F.contains(low, F.lit("connection closed")) & message.rlike(AUTH_CLOSED)
+    return any_text(low, AUTH_FAILURE) | closed
 
 
-def anomaly_rule(message: Column) -> Column:
+def anomaly_rule(message: Column, low: Column) -> Column:
     """Position (from 0) of the first anomaly pattern found in the message, else NULL.
 
     A substring test stands before each pattern: it is far cheaper than the
     regex and rules out nearly every line.
     """
-    low = F.lower(message)
     out = None
     for i, (_, needs, pattern, _) in enumerate(ANOMALIES):
         cond = F.contains(low, F.lit(needs)) & message.rlike("(?i)" + pattern)

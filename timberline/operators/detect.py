@@ -49,13 +49,13 @@ def _matches(text: Column, log_type: str) -> Column:
 
 
 def detect_types(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFrame:
-    """One row per source: ``source, log_type, confidence, scores``.
+    """One row per source: ``source, log_type, confidence, scores, filled``.
 
     Each of the first lines of a source gives a point to every type with a
     marker in it. CSV points count only if the first line is a header and the
     next rows have its number of fields. The best type needs two points and a
     tenth of the sample; otherwise ``log_type`` is NULL. ``scores`` lists the
-    types with points, in the fixed order.
+    types with points, in the fixed order; ``filled`` tells whether the sample has any text.
 
     Only the sample lines leave the scan, at most ``sample_lines`` per source.
     """
@@ -71,7 +71,7 @@ def detect_types(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFram
         F.when((no > 0) & (no <= 10) & (text != ""), F.size(fields)).alias("_width"),
     )
     per_source = scored.groupBy("source").agg(
-        F.count("*").alias("_n"), *[F.sum(t).alias(t) for t in LOG_TYPES],
+        F.count("*").alias("_n"), F.bool_or(~F.col("_blank")).alias("filled"), *[F.sum(t).alias(t) for t in LOG_TYPES],
         F.max("_header").alias("_header"),
         # at most ten small numbers per source
         F.collect_list("_width").alias("_widths"),
@@ -87,9 +87,10 @@ def detect_types(lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFram
         for i, (t, p) in enumerate(zip(LOG_TYPES, points))])
     best = F.array_max("_ranked")
     ok = (best["score"] >= 2) & (best["score"] >= F.col("_n") * 0.1)
-    return per_source.select("source", "_n", ranked.alias("_ranked")).select(
+    return per_source.select("source", "_n", "filled", ranked.alias("_ranked")).select(
         "source", F.when(ok, best["type"]).alias("log_type"),
         F.when(ok, round_exact(F.least(F.lit(1.0), best["score"] / F.col("_n")), 2)).otherwise(0.0).alias("confidence"),
         F.transform(F.filter("_ranked", lambda r: r["score"] > 0),
                     lambda r: F.struct(r["type"].alias("type"), r["score"].alias("score"))).alias("scores"),
+        "filled",
     )

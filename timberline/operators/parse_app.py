@@ -54,20 +54,21 @@ def parse_container(lines: DataFrame) -> DataFrame:
     )
 
 
-def _path(name: str) -> str:
-    return f'$["{name}"]'
+def _quoted(name: str) -> Column:
+    """Whether the JSON value is a string; asked only for the few texts where it matters."""
+    value = F.try_variant_get(F.try_parse_json(F.col("_text")), f'$["{name}"]', "variant")
+    return F.schema_of_variant(value) == "STRING"
 
 
-def _set_value(doc: Column, name: str) -> Column:
+def _set_value(fields: Column, name: str) -> Column:
     """JSON value as text unless it is null, empty, zero or false (a quoted "0" counts)."""
-    text = F.try_variant_get(doc, _path(name), "string")
-    quoted = F.schema_of_variant(F.try_variant_get(doc, _path(name), "variant")) == "STRING"
+    text = F.try_element_at(fields, F.lit(name))
     empty = text.isin("0", "0.0", "-0.0", "false", "[]", "{}")
-    return F.when((text != "") & (~empty | quoted), text)
+    return F.when(text == "", F.lit(None)).when(empty & ~_quoted(name), F.lit(None)).otherwise(text)
 
 
-def _first_set(doc: Column, field: str) -> Column:
-    return F.coalesce(*[_set_value(doc, n) for n in JSON_NAMES[field]])
+def _first_set(fields: Column, field: str) -> Column:
+    return F.coalesce(*[_set_value(fields, n) for n in JSON_NAMES[field]])
 
 
 def parse_api(lines: DataFrame) -> DataFrame:
@@ -79,23 +80,23 @@ def parse_api(lines: DataFrame) -> DataFrame:
     text, doc, g = F.col("_text"), F.col("_doc"), F.col("_g")
     is_json = F.startswith(text, F.lit("{"))
     known = [n for names in JSON_NAMES.values() for n in names]
-    as_map = F.try_variant_get(doc, "$", "map<string,string>")
-
-    status_text = F.try_variant_get(doc, _path("status"), "string")
-    status_kind = F.schema_of_variant(F.try_variant_get(doc, _path("status"), "variant"))
-    status = (
-        F.when(status_kind == "STRING", to_int(status_text))
-        .when(status_kind == "BOOLEAN", F.when(status_text == "true", 1).otherwise(0))
-        .otherwise(to_float(status_text).try_cast("bigint"))
+
+    # whole numbers read the same quoted or not; only other texts need the JSON type
+    status_text = F.try_element_at(doc, F.lit("status"))
+    status = F.coalesce(
+        to_int(status_text),
+        F.when(status_text.isNull() | _quoted("status"), F.lit(None).cast("bigint"))
+        .when(status_text.isin("true", "false"), F.when(status_text == "true", 1).otherwise(0))
+        .otherwise(to_float(status_text).try_cast("bigint")),
     )
-    duration_text = F.try_variant_get(doc, _path("duration"), "string")
+    duration_text = F.try_element_at(doc, F.lit("duration"))
     duration = F.when(duration_text.isin("true", "false"), F.when(duration_text == "true", 1.0).otherwise(0.0)) \
         .otherwise(to_float(duration_text))
 
     spoken = F.coalesce(group_or_null(g, 2), group_or_null(g, 3), group_or_null(g, 4))
     base = once(
         lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
-        _doc=F.when(is_json, F.try_parse_json(text)),
+        _doc=F.when(is_json, F.from_json(text, "map<string,string>")),
         _g=F.when(~is_json, capture(text, r"(?s)^.*?" + API_TEXT + r".*\z", 4)),
     )
     from_json, from_text = doc.isNotNull(), group(g, 1).isNotNull()
@@ -111,6 +112,6 @@ def parse_api(lines: DataFrame) -> DataFrame:
         F.when(from_json, duration).alias("duration"),
         F.when(from_json, F.coalesce(_first_set(doc, "message"), F.lit(""))).when(from_text, text).alias("message"),
         F.when(from_json, _first_set(doc, "request_id")).alias("request_id"),
-        F.when(from_json, F.map_filter(as_map, lambda k, _: ~k.isin(*known)))
+        F.when(from_json, F.map_filter(doc, lambda k, _: ~k.isin(*known)))
         .when(from_text, F.create_map().cast("map<string,string>")).alias("extra"),
     )

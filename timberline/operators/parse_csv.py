@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.text import csv_fields, strip
+from timberline.operators.once import once
 
 # fixed values: canonical columns and the header names they go by, in order
 COLUMN_NAMES = {
@@ -48,34 +49,47 @@ def _target_of(header: Column) -> Column:
 
 
 def map_headers(headers: DataFrame) -> DataFrame:
-    """Add ``positions`` (target -> index) and ``own_names`` to ``(…, names ARRAY)``.
+    """Work out the columns of ``(…, names ARRAY)``, once per header.
+
+    Adds ``positions`` (index of each canonical column), ``own`` (name and
+    index of the other columns), ``result_at`` (index of ``results``) and
+    ``mapped`` (canonical columns present).
 
     When several headers stand for one target the longest wins, then the first
     in text order. A loser keeps its own name; if that is a canonical name it
-    becomes ``<name>_raw`` so that it cannot overwrite the winner.
+    becomes ``<name>_raw`` so that it cannot overwrite the winner. Of several
+    headers with one name the last counts.
     """
-    named = F.transform("names", lambda h, i: F.struct(
+    candidates = F.transform("names", lambda h, i: F.struct(
         _target_of(h).alias("target"), (-F.length(h)).alias("order"), h.alias("name"), i.alias("pos")))
 
     def winner(target: str) -> Column:
         best = F.array_min(F.transform(
             F.filter("_cand", lambda c: c["target"] == target),
             lambda c: F.struct(c["order"].alias("o"), c["name"].alias("n"), c["pos"].alias("p"))))
-        return F.struct(F.lit(target).alias("key"), best["p"].alias("value"))
-
-    won = F.filter(F.array(*[winner(t) for t in TARGETS]), lambda e: e["value"].isNotNull())
+        return best["p"].alias(target)
+
+    own = F.filter(
+        F.transform("names", lambda h, i: F.struct(
+            F.when(h.isin(*TARGETS), F.concat(h, F.lit("_raw"))).otherwise(h).alias("key"), i.alias("pos"))),
+        lambda e: ~F.array_contains("_won", e["pos"]))
+    last_own = F.filter("_own", lambda e, i: ~F.exists(
+        "_own", lambda other: (other["key"] == e["key"]) & (other["pos"] > e["pos"])))
+    at = F.transform(F.filter("own", lambda e: e["key"] == "results"), lambda e: e["pos"])
     return (
-        headers.withColumn("_cand", named)
-        .withColumn("positions", F.map_from_entries(won))
-        .withColumn("own_names", F.transform("names", lambda h, i: F.when(
-            F.array_contains(F.map_values("positions"), i), F.lit(None)
-        ).when(h.isin(*TARGETS), F.concat(h, F.lit("_raw"))).otherwise(h)))
-        .drop("_cand")
+        headers.withColumn("_cand", candidates)
+        .withColumn("positions", F.struct(*[winner(t) for t in TARGETS]))
+        .withColumn("_won", F.array_compact(F.array(*[F.col(f"positions.{t}") for t in TARGETS])))
+        .withColumn("_own", own).withColumn("own", last_own)
+        .withColumn("result_at", F.get(at, F.lit(0)))
+        .withColumn("mapped", F.array_compact(F.array(*[
+            F.when(F.col(f"positions.{t}").isNotNull(), F.lit(t)) for t in TARGETS])))
+        .drop("_cand", "_won", "_own")
     )
 
 
 def read_headers(lines: DataFrame) -> DataFrame:
-    """First line of each source as ``(source, names, positions, own_names)``."""
+    """First line of each source, with its columns worked out."""
     first = lines.where(F.col("line_no") == 0).select(
         "source", F.transform(csv_fields(strip(F.col("value"))), strip).alias("names"))
     return map_headers(first)
@@ -113,37 +127,28 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     allows and joins by source otherwise.
     """
     headers = read_headers(lines).where(F.size("names") >= 2)
-    text = F.col("_text")
-    fields = F.transform(csv_fields(text), lambda f: F.nullif(strip(f), F.lit("")))
-    rows = (
-        lines.select("source", "line_no", strip(F.col("value")).alias("_text"))
-        .join(headers, "source", "left")
-        .select(
-            "source", "line_no", "_text", "positions", "own_names", "names",
-            ((F.col("line_no") == 0) & F.col("positions").isNotNull()).alias("is_header"),
-            F.when(F.col("positions").isNotNull() & (F.col("line_no") > 0) & (text != ""), fields).alias("_f"),
-        )
-    )
-    value = {t: F.get(F.col("_f"), F.try_element_at("positions", F.lit(t))) for t in TARGETS}
-    keep = F.filter(
-        F.transform("own_names", lambda n, i: F.struct(n.alias("key"), F.get(F.col("_f"), i).alias("value"))),
-        lambda e: e["key"].isNotNull())
-    # of several headers with one name the last counts
-    last_only = F.filter(keep, lambda e, i: ~F.exists(
-        F.slice(keep, i + 2, F.greatest(F.size(keep) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
-    result = F.try_element_at("extra", F.lit("results"))
-    told = F.when(~F.map_contains_key("positions", F.lit("level")), _result_level(result))
+    text, f = F.col("_text"), F.col("_f")
+    joined = lines.select("source", "line_no", strip(F.col("value")).alias("_text")).join(headers, "source", "left")
+    has_header = F.col("names").isNotNull()
+    is_row = has_header & (F.col("line_no") > 0) & (text != "")
+    rows = once(
+        joined, is_header=(F.col("line_no") == 0) & has_header,
+        _f=F.when(is_row, F.slice(csv_fields(text), F.lit(1), F.size("names"))))
+
+    def cell(at: Column) -> Column:
+        return F.nullif(strip(F.get(f, at)), F.lit(""))
+
+    told = F.when(F.col("positions.level").isNull() & F.col("_result").isNotNull(), _result_level(F.col("_result")))
     typed = rows.select(
-        "source", "line_no", "is_header", "_text", "positions", "names", "_f",
-        *[value[t].alias(t) for t in TARGETS],
-        F.when(F.col("_f").isNotNull(), F.map_from_entries(last_only)).alias("extra"),
+        "*", *[cell(F.col(f"positions.{t}")).alias(t) for t in TARGETS], cell(F.col("result_at")).alias("_result"),
     ).withColumn("_told", told)
-    some_value = F.coalesce(*TARGETS).isNotNull() | F.exists(F.map_values("extra"), lambda v: v.isNotNull())
     others = [t for t in TARGETS if t not in ("level", "message")]
+    extra = F.map_from_arrays(F.transform("own", lambda e: e["key"]), F.transform("own", lambda e: cell(e["pos"])))
     return typed.select(
         "source", "line_no", "is_header",
-        F.coalesce(some_value, F.lit(False)).alias("parsed"), ((text == "") & ~F.col("is_header")).alias("blank"),
+        F.coalesce(strip(F.array_join(f, "")) != "", F.lit(False)).alias("parsed"),
+        ((text == "") & ~F.col("is_header")).alias("blank"),
         *[F.col(t) for t in others],
         F.coalesce("_told.level", "level").alias("level"), F.coalesce("_told.message", "message").alias("message"),
-        "extra", F.map_keys("positions").alias("mapped"), F.col("names").alias("header_names"),
+        F.when(f.isNotNull(), extra).alias("extra"), "mapped", F.col("names").alias("header_names"),
     )

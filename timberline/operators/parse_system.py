@@ -31,19 +31,19 @@ def mark_traces(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     ``trace_line`` is the line number of the start for swallowed lines.
     """
     text = F.col("_text")
-    has_word = text.rlike(rules.TRACE_START)
+    has_word = rules.any_text(F.col("_low"), rules.TRACE_START)
     g = capture(text, SYSLOG_LINE, 5)
     first = F.left(text, F.lit(1))
     capital = (F.upper(first) == first) & (F.lower(first) != first)
     # the full line pattern is tried only on lines with a start word
     starts = F.when(has_word, F.coalesce(
-        (rules.service_category(group(g, 3)) == "kernel") & group(g, 5).rlike(rules.TRACE_START), F.lit(False)
+        (rules.service_category(group(g, 3)) == "kernel") & rules.any_text(F.lower(group(g, 5)), rules.TRACE_START), F.lit(False)
     )).otherwise(False)
     could_continue = ~has_word & F.contains(text, F.lit("kernel:")) & ~capital
     marked = once(
-        lines.select("source", "line_no", strip(F.col("value")).alias("_text")),
+        once(lines.select("source", "line_no", strip(F.col("value")).alias("_text")), _low=F.lower("_text")),
         starts_trace=starts, _cont=could_continue,
-    )
+    ).drop("_low")
     fence = F.when((text != "") & ~F.col("_cont"), F.when(F.col("starts_trace"), F.col("line_no")).otherwise(F.lit(-1)))
     carried = last_before(marked, fence.cast("bigint"), "_fence", block_lines)
     return carried.select(
@@ -68,10 +68,11 @@ def parse_syslog(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
             "source", "line_no", "trace_line", "starts_trace", (text == "").alias("blank"),
             group(g, 1).alias("timestamp"), group(g, 2).alias("hostname"), process.alias("process"),
             group_or_null(g, 4).try_cast("bigint").alias("pid"), message.alias("message"),
+            F.lower(message).alias("_low"),
         ),
-        _named=rules.syslog_severity(F.col("message")),
-        is_auth_failure=rules.is_auth_failure(F.col("message")),
-        _rule=rules.anomaly_rule(F.col("message")),
+        _named=rules.syslog_severity(F.col("message"), F.col("_low")),
+        is_auth_failure=rules.is_auth_failure(F.col("message"), F.col("_low")),
+        _rule=rules.anomaly_rule(F.col("message"), F.col("_low")),
     )
     return (
         found

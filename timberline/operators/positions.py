@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timberline.operators.once import all_of
 
-BLOCK_LINES = 131_072
+BLOCK_LINES = 16_384
 
 
 def _with_block(df: DataFrame, block_lines: int) -> DataFrame:

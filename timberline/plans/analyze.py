@@ -83,41 +83,60 @@ def analyze(lines: DataFrame, log_type: str = "auto", options: Options = Options
 
 
 def typed_sources(lines: DataFrame, log_type: str = "auto") -> DataFrame:
-    """``(source, log_type, confidence, error)`` of every source; ``error`` says why it has no report."""
-    filled = lines.groupBy("source").agg(F.bool_or(F.trim("value") != "").alias("_filled"))
+    """``(source, log_type, confidence, error)`` of every source; ``error`` says why it has no report.
+
+    A source whose first lines are all blank counts as one without content.
+    """
     empty = F.concat(F.lit("No content in "), F.col("source"))
+    found = detect_types(lines)
     if log_type and log_type != "auto":
         known = log_type in PARSERS
-        problem = F.when(~F.col("_filled"), empty).otherwise(
-            F.lit(None) if known else F.lit(f"Unknown log type: {log_type}"))
-        kind = F.when(F.col("_filled"), F.lit(log_type if known else None))
-        return filled.select("source", kind.cast("string").alias("log_type"), F.lit(None).cast("double").alias("confidence"),
-                             problem.cast("string").alias("error"))
-    guess = F.lit("Could not auto-detect log type. Please select the log type manually.")
-    return filled.join(detect_types(lines), "source", "left").select(
-        "source", F.when(F.col("_filled"), F.col("log_type")).alias("log_type"), "confidence",
-        F.when(~F.col("_filled"), empty).when(F.col("log_type").isNull(), guess).alias("error"))
+        problem = F.lit(None) if known else F.lit(f"Unknown log type: {log_type}")
+        kind, sure = F.lit(log_type if known else None), F.lit(None)
+    else:
+        guess = F.lit("Could not auto-detect log type. Please select the log type manually.")
+        problem = F.when(F.col("log_type").isNull(), guess)
+        kind, sure = F.col("log_type"), F.col("confidence")
+    return found.select(
+        "source", F.when(F.col("filled"), kind).cast("string").alias("log_type"),
+        sure.cast("double").alias("confidence"),
+        F.when(~F.col("filled"), empty).otherwise(problem).cast("string").alias("error"))
 
 
-def lines_of_type(lines: DataFrame, types: DataFrame, log_type: str) -> DataFrame:
-    """Lines of the sources with this type. The type table has one short row per source."""
-    wanted = types.where(F.col("log_type") == log_type).select("source")
-    return lines.join(wanted, "source", "left_semi")
+# Up to this many sources are named in the plan; beyond it they are joined.
+_NAMED_SOURCES = 2_000
 
 
-def batch(lines: DataFrame, log_type: str = "auto", options: Options = Options(),
-          types: Sequence[str] | None = None) -> dict[str, dict[str, DataFrame]]:
+def split_by_type(lines: DataFrame, types: DataFrame) -> dict[str, DataFrame]:
+    """Lines of each type that occurs; ``types`` is ``(source, log_type, …)``.
+
+    With a moderate number of sources their names become an IN filter, so a
+    type reads only its own sources (a pushed filter, or partition pruning for
+    a table partitioned by source). With more, the type table is semi-joined.
+    """
+    head = types.where(F.col("log_type").isNotNull()).select("source", "log_type").limit(_NAMED_SOURCES + 1).collect()
+    if len(head) <= _NAMED_SOURCES:
+        named: dict[str, list[str]] = {}
+        for row in head:
+            named.setdefault(row["log_type"], []).append(row["source"])
+        return {t: lines.where(F.col("source").isin(*sorted(named[t]))) for t in PARSERS if t in named}
+    occurring = {r["log_type"] for r in types.select("log_type").distinct().collect()}
+    return {t: lines.join(types.where(F.col("log_type") == t).select("source"), "source", "left_semi")
+            for t in PARSERS if t in occurring}
+
+
+def batch(lines: DataFrame, log_type: str = "auto", options: Options = Options()) -> dict[str, dict[str, DataFrame]]:
     """One report per source: ``{log_type: {output: DataFrame with source}}`` and ``sources``.
 
-    All sources of a type are aggregated together with ``source`` as a key, so
-    the number of jobs does not grow with the number of sources.
+    Detection runs at once. All sources of a type are aggregated together with
+    ``source`` as a key, so the number of jobs does not grow with the number
+    of sources.
     """
-    types = list(types or PARSERS)
     per_source = Options(options.slow, options.critical, ("source",), options.exclude)
     kinds = typed_sources(lines, log_type)
     out: dict[str, dict[str, DataFrame]] = {"sources": {"sources": kinds}}
-    for t in types:
-        out[t] = report(parse(lines_of_type(lines, kinds, t), t, per_source), t, per_source)
+    for t, part in split_by_type(lines, kinds).items():
+        out[t] = report(parse(part, t, per_source), t, per_source)
     return out
 
 
@@ -125,10 +144,11 @@ def batch_overview(lines: DataFrame, log_type: str = "auto", options: Options =
     """One row per source: type, confidence, error, line totals and time range."""
     kinds = typed_sources(lines, log_type)
     totals = None
-    for t in PARSERS:
-        part = bookkeeping(parse(lines_of_type(lines, kinds, t), t, options), ("source",), options.exclude)
+    for t, lines_of_type in split_by_type(lines, kinds).items():
+        part = bookkeeping(parse(lines_of_type, t, options), ("source",), options.exclude)
         totals = part if totals is None else totals.unionByName(part)
-    return kinds.join(totals, "source", "left").orderBy("source")
+    out = kinds if totals is None else kinds.join(totals, "source", "left")
+    return out.orderBy("source")
 
 
 def compare(outputs: dict[str, DataFrame], names: Sequence[str], sources: Sequence[str]) -> DataFrame:
@@ -177,17 +197,19 @@ def timeline_rows(parsed: DataFrame, log_type: str, exclude: Sequence[str] = ())
 
 
 def correlate(lines: DataFrame, log_type: str = "auto", options: Options = Options(),
-              types: Sequence[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+              known: DataFrame | None = None) -> DataFrame:
     """Entries of all sources in one timeline, by timestamp text, then source, then line.
 
     Sources without a detected type are left out. ``known`` gives types by
-    source ``(source, log_type)`` instead of detection.
+    source ``(source, log_type)`` instead of detection. Raises ValueError when
+    no source has a type.
     """
-    kinds = typed_sources(lines, log_type) if known is None else known
     rows = None
-    for t in types or PARSERS:
-        part = timeline_rows(parse(lines_of_type(lines, kinds, t), t, options), t, options.exclude)
-        rows = part if rows is None else rows.unionByName(part)
+    for t, part in split_by_type(lines, typed_sources(lines, log_type) if known is None else known).items():
+        more = timeline_rows(parse(part, t, options), t, options.exclude)
+        rows = more if rows is None else rows.unionByName(more)
+    if rows is None:
+        raise ValueError("No valid logs to correlate")
     return rows.orderBy("timestamp", "source", "line_no")
 
 
@@ -196,5 +218,5 @@ def type_counts(timeline: DataFrame) -> DataFrame:
 
 
 __all__ = ["LABELS", "LOG_TYPES", "PARSERS", "REPORTS", "TARGETS", "analyze", "batch", "batch_overview", "compare",
-           "correlate", "lines_of_type", "parse", "register", "report", "shared_clients", "timeline_rows",
+           "correlate", "parse", "register", "report", "shared_clients", "split_by_type", "timeline_rows",
            "type_counts", "typed_sources"]

@@ -14,9 +14,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timberline.sources.lines import spread
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    columns = ["event_id", "user_id", "ts", "event_type", "value"]
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns))
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +104,8 @@ def database_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN e = 'view' THEN concat('LOG:  autovacuum: for table "public.t', i % 5, '": ', i % 50,
             ' dead tuples, ', i % 70, ' live tuples')
         WHEN i % 10 = 3 THEN concat('LOG:  statement: ', {verb})
-        WHEN i % 10 = 7 THEN concat('LOG:  duration: ', {_decimal('cents * 100', 3)}, ' ms')
-        ELSE concat('LOG:  duration: ', {_decimal('cents * 100', 3)}, ' ms  statement: ', {verb}) END"""
+        WHEN i % 10 = 7 THEN concat('LOG:  duration: ', {_decimal('cents * 1007', 3)}, ' ms')
+        ELSE concat('LOG:  duration: ', {_decimal('cents * 1007', 3)}, ' ms  statement: ', {verb}) END"""
     value = f"""CASE WHEN i % 71 = 0 THEN 'psql: junk' WHEN i % 73 = 0 THEN 'LOG:  starting' ELSE
         concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '.000 UTC [', u % 40, '] ', {body}) END"""
     return _lines(_base(spark, sf_dir), "'postgresql.log'", value)

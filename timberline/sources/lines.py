@@ -78,3 +78,14 @@ def lines_of(df: DataFrame, value: str, line_no: str, source: str | None = None,
     return df.select(
         src.alias("source"), F.col(line_no).cast("bigint").alias("line_no"), F.col(value).alias("value")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer partitions than cores.
+
+    Parsing is CPU work per line; an input of few large splits (a gzip file, a
+    single row group) would leave cores idle. Inputs with enough partitions
+    are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -181,11 +181,12 @@ def equal_count_histogram(df: DataFrame, value: Column, by: Sequence[str] = (),
 def equal_width_histogram(df: DataFrame, value: Column, by: Sequence[str] = (), buckets: int = 10) -> DataFrame:
     """Ten equal slices of [0, max], empty ones kept: ``(bucket, lower, upper, value)``."""
     counts = value_counts(df.where(value.isNotNull()), by, value)
-    top = counts.groupBy(*by).agg(F.max("_v").alias("_hi"))
+    top = counts.groupBy(*by).agg(F.max(F.when(all_of(*counts.columns), F.col("_v"))).alias("_hi"))
+    top = top.where(F.col("_hi").isNotNull())
     joined = counts.join(top, list(by)) if by else counts.crossJoin(F.broadcast(top))
     step = F.when(F.col("_hi") > 0, F.col("_hi") / float(buckets)).otherwise(F.lit(1.0))
     slot = F.greatest(F.lit(0), F.least(F.floor(F.col("_v") / step), F.lit(buckets - 1))).cast("int")
-    filled = joined.groupBy(*by, slot.alias("bucket")).agg(F.sum("_c").alias("_n"))
+    filled = joined.where(all_of(*counts.columns)).groupBy(*by, slot.alias("bucket")).agg(F.sum("_c").alias("_n"))
     frame = top.select(*by, step.alias("_step"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     out = frame.join(filled, [*by, "bucket"], "left")
     return out.select(

@@ -54,16 +54,19 @@ def parse_container(lines: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: JSON texts that count as not set unless they are quoted
+UNSET_TEXTS = ["0", "0.0", "-0.0", "false", "[]", "{}"]
+
+
 def _quoted(name: str) -> Column:
-    """Whether the JSON value is a string; asked only for the few texts where it matters."""
-    value = F.try_variant_get(F.try_parse_json(F.col("_text")), f'$["{name}"]', "variant")
-    return F.schema_of_variant(value) == "STRING"
+    """Whether the JSON value is a string; ``_typed`` is there for the few rows where it matters."""
+    return F.schema_of_variant(F.try_variant_get("_typed", f'$["{name}"]', "variant")) == "STRING"
 
 
 def _set_value(fields: Column, name: str) -> Column:
     """JSON value as text unless it is null, empty, zero or false (a quoted "0" counts)."""
     text = F.try_element_at(fields, F.lit(name))
-    empty = text.isin("0", "0.0", "-0.0", "false", "[]", "{}")
+    empty = text.isin(*UNSET_TEXTS)
     return F.when(text == "", F.lit(None)).when(empty & ~_quoted(name), F.lit(None)).otherwise(text)
 
 
@@ -99,6 +102,10 @@ def parse_api(lines: DataFrame) -> DataFrame:
         _doc=F.when(is_json, F.from_json(text, "map<string,string>")),
         _g=F.when(~is_json, capture(text, r"(?s)^.*?" + API_TEXT + r".*\z", 4)),
     )
+    # the map of texts does not tell 0 from "0"; rows where that decides are read once more with types
+    unsure = F.arrays_overlap(F.map_values(doc), F.array(*[F.lit(t) for t in UNSET_TEXTS])) | (
+        status_text.isNotNull() & to_int(status_text).isNull())
+    base = once(base, _typed=F.when(unsure, F.try_parse_json(text)))
     from_json, from_text = doc.isNotNull(), group(g, 1).isNotNull()
     return base.select(
         "source", "line_no",

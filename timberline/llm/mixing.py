@@ -32,7 +32,8 @@ def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     """(source, n_docs, source_size, target), one row per source, from rows (source, size).
 
     With r = cap / weight, sources fill up in ascending r. After the first k are full the others get
-    (budget - their caps) / (weight left) per weight; the first k for which the next r is not below that level is it.
+    (budget - their caps) / (weight left) per weight. That level rises with k while the next r is below it and falls
+    afterwards, so the highest is the one at which nobody is above.
     """
     one = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(one) - 1, len(weights)) + 1))
@@ -45,7 +46,7 @@ def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
              / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     rows = rows.withColumn("level", level)
     open_ = F.col("level") <= F.col("cap") / F.col("weight")
-    rows = rows.withColumn("level", F.coalesce(F.min(F.when(open_, F.col("level"))).over(whole), F.max("level").over(whole)))
+    rows = rows.withColumn("level", F.coalesce(F.max(F.when(open_, F.col("level"))).over(whole), F.lit(0.0)))
     return rows.select("source", "n_docs", "source_size",
                        F.least(F.col("cap"), F.col("weight") * F.col("level")).alias("target"))
 

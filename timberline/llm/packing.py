@@ -9,9 +9,8 @@ A block is up to `block_tokens` tokens of remainders that follow each other in a
 packed in one pass, no ids are shuffled, memory is bounded by the block and the longest document, and a lost
 task repeats itself exactly. Sequence ids are (partition, number in it).
 
-Ids: byte-level BPE. The library with ranks gives the same ids as the one with the JSON file, about five times faster
-(the tests compare them over every code point); the few code points on which the two regex engines could differ aren't
-left to it but go to the JSON tokenizer.
+Ids: byte-level BPE. The library that reads ranks gives the same ids as the one that reads the JSON file, about five
+times faster (the tests compare the two, every code point included).
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each for itself; an empty table gives
 an empty result; only the id and the text are read.

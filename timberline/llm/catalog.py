@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from timberline.llm import common, language, licenses, lines, mixing, packing, rules, simhash
+from timberline.llm import common, language, licenses, lines, mixing, packing, quality, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -96,3 +96,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(common.documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _verdict(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.crc_mod(F.col("doc_id"), 5) == 0
+    docs = common.documents(spark, sf_dir).withColumn("held_out", held_out)
+    return _verdict(quality.classify(docs, _labels(spark, sf_dir), ~held_out, carry=("held_out",)))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    docs = common.documents(spark, sf_dir).withColumn("held_out", held_out)
+    return _verdict(toxicity.classify(docs, _labels(spark, sf_dir), ~held_out, carry=("held_out",)))

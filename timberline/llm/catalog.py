@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from timberline.llm import common, language, licenses, lines, mixing, packing, quality, rules, simhash, toxicity
+from timberline.llm import common, language, licenses, lines, mixing, neighbours, packing, quality, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EXPECTED: dict[str, str] = {}
@@ -118,3 +118,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.crc_mod(F.col("doc_id"), 4) == 2
     docs = common.documents(spark, sf_dir).withColumn("held_out", held_out)
     return _verdict(toxicity.classify(docs, _labels(spark, sf_dir), ~held_out, carry=("held_out",)))
+
+
+@query("op5_nearest")
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0)

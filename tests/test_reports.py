@@ -55,7 +55,7 @@ def test_analyze(spark):
     assert out["summary"].first()["total_entries"] == 3
     with pytest.raises(ValueError, match="auto-detect"):
         an.analyze(lines_from_text(spark, "words\nwords"))
-    with pytest.raises(ValueError, match="Unknown log type"):
+    with pytest.raises(ValueError, match="No such log type"):
         an.analyze(lines_from_text(spark, "words"), "nope")
 
 
@@ -66,13 +66,13 @@ def test_batch(spark):
     out = an.batch(lines)
     assert set(out) == {"sources", "nginx_access", "syslog"}
     errors = {r["source"]: r["error"] for r in out["sources"]["sources"].collect()}
-    assert errors["w.log"] is None and errors["blank"] == "No content in blank" and "auto-detect" in errors["odd"]
+    assert errors["w.log"] is None and errors["blank"] == "blank holds no lines to read" and "auto-detect" in errors["odd"]
     r = out["nginx_access"]["summary"].first()
     assert (r["source"], r["total_requests"]) == ("w.log", 4)
     view = {r["source"]: r for r in an.batch_overview(lines).collect()}
     assert view["s.log"]["parsed"] == 3 and view["odd"]["parsed"] is None
     forced = {r["source"]: r for r in an.typed_sources(lines, "nope").collect()}
-    assert forced["w.log"]["error"] == "Unknown log type: nope"
+    assert forced["w.log"]["error"] == "No such log type: nope"
 
 
 def test_correlate(spark):
@@ -83,7 +83,7 @@ def test_correlate(spark):
     assert got[0]["summary"] == "app: first" and got[1]["summary"] == "GET /a → 200"
     assert json.loads(got[0]["entry"])["process"] == "app"
     assert {r["type"]: r["events"] for r in an.type_counts(an.correlate(lines)).collect()} == {"syslog": 2, "nginx_access": 3}
-    with pytest.raises(ValueError, match="No valid logs"):
+    with pytest.raises(ValueError, match="nothing to correlate"):
         an.correlate(lines_from_text(spark, "x\ny"))
 
 
@@ -153,3 +153,70 @@ def test_search_and_sort(spark):
     assert [r["name"] for r in search(df, "77").collect()] == ["beta"]
     assert [r["name"] for r in pick(df, {"n": 2}).collect()] == ["beta"]
     assert [r["name"] for r in sort_by(df, "n").collect()] == ["beta", "Alpha"]
+
+
+def _plain(df):
+    return sorted(map(repr, (tuple(r.asDict(recursive=True).items()) for r in df.collect())))
+
+
+# the outputs that have a limit, and one plain one
+PER_SOURCE = ("charts.top_errors", "tables.anomaly_fingerprints", "tables.error_samples", "summary")
+
+
+@pytest.mark.parametrize("log_type", ["syslog", "nginx_access"])
+def test_per_source_outputs_equal_single_reports(spark, log_type):
+    def many(tag):  # more message forms than any top-k keeps
+        own = "\n".join(DETECTION[log_type])
+        if log_type == "syslog":
+            word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+            own += "\n" + "\n".join(f"Nov  3 05:41:07 h{tag} app: ERROR {tag} {word(i)}" for i in range(600) for _ in range(1 + i % 3))
+        return own
+
+    texts = {"a": many("x"), "b": many("y")}
+    both = an.report(an.parse(lines_from_files(spark, list(texts.items())), log_type), log_type, Options(by=("source",)))
+    for source, text in texts.items():
+        alone = an.report(an.parse(lines_from_files(spark, [(source, text)]), log_type), log_type)
+        for name, df in both.items():
+            if name in PER_SOURCE:
+                assert _plain(df.where(F.col("source") == source).drop("source")) == _plain(alone[name].drop("source")), name
+
+
+def test_sources_of_several_types(spark):
+    lines = lines_from_files(spark, [("w.log", "\n".join(access(1, 4))), ("s.log", "\n".join(DETECTION["syslog"]))])
+    with pytest.raises(ValueError, match="batch"):
+        an.analyze(lines)
+    assert an.timeline_totals(an.correlate(lines)).first().asDict() == {"total_events": 7, "sources": 2}
+
+
+def test_totals_of_absurd_numbers(spark):
+    line = '10.0.0.7 - - [03/Nov/2024:06:17:52 +0100] "GET /a HTTP/1.1" 200 9223372036854775807 "-" "ua" rt=1'
+    p = an.parse(lines_from_text(spark, "\n".join([line] * 3)), "nginx_access")
+    assert an.ACCESS["summary"](p, Options()).first()["total_bytes"] == 2**63 - 1
+    assert an.ACCESS["tables.ip_details"](p, Options()).first()["total_bytes"] == 2**63 - 1
+
+
+@pytest.mark.parametrize("log_type", list(an.REPORTS))
+def test_entry_index_of_every_type(spark, log_type):
+    from timberline.operators.entries import entries
+    from timberline.operators.positions import entry_index
+
+    typed = entries(an.parse(lines_from_text(spark, "\n".join(DETECTION[log_type])), log_type))
+    got = [r["entry_idx"] for r in entry_index(typed).orderBy("line_no").collect()]
+    assert got == list(range(len(got))) and got
+
+
+def test_equal_names_stay_apart(spark, tmp_path):
+    from timberline.operators.entries import entries
+    from timberline.sources.lines import read_lines
+
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text("timestamp,level\n1,INFO\n2,WARN\n")
+    paths = [str(tmp_path / f / "t.csv") for f in ("a", "b")]
+    lines = read_lines(spark, paths)
+    assert lines.select("source", "line_no").distinct().count() == 6
+    assert entries(an.parse(lines, "csv")).count() == 4
+    with pytest.raises(ValueError, match="one name"):
+        read_lines(spark, paths, full_path=False)
+    twice = lines_from_files(spark, [("t", "x\ny"), ("t", "z")])
+    assert {r["source"] for r in twice.collect()} == {"t", "t (2)"}

@@ -69,11 +69,6 @@ def exact_total(value: Column, weight: Column | None = None) -> Column:
     return F.when(F.count(fixed) == F.count(value), exact.cast("double")).otherwise(plain)
 
 
-def int_total(value: Column) -> Column:
-    """Aggregate: sum of integers that cannot overflow while adding up."""
-    return F.coalesce(F.sum(value.cast("decimal(20,0)")).try_cast("bigint"), F.lit(0).cast("bigint"))
-
-
 def human_bytes(n: Column, digits: int = 2) -> Column:
     """1536 -> ``1.50 KB``; units of 1024 up to PB."""
     x = n.cast("double")

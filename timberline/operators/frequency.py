@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.functions.numeric import percent
@@ -36,10 +37,16 @@ def frequencies(
     """Rows per label, most frequent first, ties by first appearance.
 
     Counting combines on the map side, so a hot label costs one row per task.
-    ``limit`` is the top-k form and plans as TakeOrderedAndProject.
+    ``limit`` is the top-k form, per report: over all rows it plans as
+    TakeOrderedAndProject, with ``by`` as a rank that each task cuts off before
+    the shuffle (WindowGroupLimit).
     """
-    counts = _counted(df, {label_name: label}, by).where(F.col("_labelled") > 0).orderBy(*_order(by))
-    if limit is not None:
+    counts = _counted(df, {label_name: label}, by).where(F.col("_labelled") > 0)
+    if limit is not None and by:
+        place = F.row_number().over(W.partitionBy(*by).orderBy(*_order(())))
+        counts = counts.withColumn("_place", place).where(F.col("_place") <= limit)
+    counts = counts.orderBy(*_order(by))
+    if limit is not None and not by:
         counts = counts.limit(limit)
     return counts.select(*by, label_name, F.col("_n").alias(count_name))
 

@@ -23,7 +23,7 @@ def once(df: DataFrame, **expressions: Column) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in expressions])
 
 
-def all_of(*columns: str) -> Column:
+def all_of(*columns: str | Column) -> Column:
     """A condition that is always true and reads all the columns.
 
     Put into a branch that needs only some of them, it keeps that branch equal

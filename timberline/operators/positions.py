@@ -23,13 +23,18 @@ def _with_block(df: DataFrame, block_lines: int) -> DataFrame:
     return blocked.where(placed).repartition("source", "_block")
 
 
+def _readable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed; a map counts by its entries."""
+    return [F.map_entries(n) if kind.startswith("map<") else F.col(n) for n, kind in df.dtypes]
+
+
 def entry_index(entries: DataFrame, block_lines: int = BLOCK_LINES, with_total: bool = False) -> DataFrame:
     """Add ``entry_idx``: position from 0 among the given rows of each source.
 
     ``with_total`` also adds ``entry_total``, the number of rows of the source.
     """
     blocked = _with_block(entries, block_lines)
-    counts = blocked.groupBy("source", "_block").agg(F.count_if(all_of(*blocked.columns)).alias("_n"))
+    counts = blocked.groupBy("source", "_block").agg(F.count_if(all_of(*_readable(blocked))).alias("_n"))
     earlier = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(
         "source", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
@@ -46,7 +51,7 @@ def entry_index(entries: DataFrame, block_lines: int = BLOCK_LINES, with_total:
 def last_before(lines: DataFrame, value: Column, name: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Add the latest non-NULL ``value`` of the lines before each line of its source."""
     blocked = _with_block(lines.withColumn("_v", value), block_lines)
-    at = F.when(F.col("_v").isNotNull() & all_of(*blocked.columns), F.col("line_no"))
+    at = F.when(F.col("_v").isNotNull() & all_of(*_readable(blocked)), F.col("line_no"))
     ends = blocked.groupBy("source", "_block").agg(F.max_by("_v", at).alias("_end"))
     earlier = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("source", "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))

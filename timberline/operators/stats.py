@@ -50,7 +50,18 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column,
         F.count("*").alias("_c"), F.count("_v").alias("_valued"), *aggs)
 
 
-_FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+def _exact_sum(column: Column | str) -> Column:
+    """Sum of whole numbers, in decimals: log text may hold any 64-bit number, and sums of those overflow."""
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(38,0)"))
+
+
+_FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "total": _exact_sum}
+# a total beyond 64 bits shows as the largest 64-bit number
+_MOST = 2**63 - 1
+
+
+def _shown(name: str, kind: str) -> Column:
+    return F.least(F.col(name), F.lit(_MOST).cast("decimal(38,0)")).cast("bigint").alias(name) if kind == "total" else F.col(name)
 
 
 def _ranked_buckets(counts: DataFrame, keys: Sequence[str],
@@ -111,8 +122,8 @@ def describe(
 ) -> DataFrame:
     """Per group: ``rows``, measures, and count / avg / min / percentiles / max of the value.
 
-    ``measures`` are further aggregates of the same pass, ``name -> (sum|min|max,
-    column)``. Statistics are NULL for a group without values.
+    ``measures`` are further aggregates of the same pass, ``name -> (sum|total|min|max,
+    column)``; ``total`` is a sum that can't overflow. Statistics are NULL for a group without values.
     """
     measures = measures or {}
     quantiles = QUANTILES if quantiles is None else quantiles
@@ -144,7 +155,7 @@ def describe(
         *[round_exact(F.col(n), digits).alias(n) for n in quantiles],
         round_exact(F.col("_hi"), digits).alias("max"),
         F.col("_hi").alias("exact_max"),
-        *measures,
+        *[_shown(n, kind) for n, (kind, _) in measures.items()],
     )
 
 

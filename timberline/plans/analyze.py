@@ -41,6 +41,9 @@ REPORTS: dict[str, dict[str, Output]] = {
 }
 
 
+UNDETECTED = "No log type fits the first lines (auto-detect found none): name one as log_type"
+
+
 def register(log_type: str, label: str, parser: Callable[[DataFrame], DataFrame],
              outputs: dict[str, Output]) -> None:
     """Add a log type: a function ``lines -> typed DataFrame`` and its report outputs."""
@@ -50,7 +53,7 @@ def register(log_type: str, label: str, parser: Callable[[DataFrame], DataFrame]
 def parse(lines: DataFrame, log_type: str, options: Options = Options()) -> DataFrame:
     """Typed table of lines of one type; raises ValueError for an unknown type."""
     if log_type not in PARSERS:
-        raise ValueError(f"Unknown log type: {log_type}")
+        raise ValueError(f"No such log type: {log_type}")
     if log_type == "postgres":
         return parse_database(lines, options.slow)
     return PARSERS[log_type](lines)
@@ -68,13 +71,21 @@ def report(parsed: DataFrame, log_type: str, options: Options = Options()) -> di
 
 
 def analyze(lines: DataFrame, log_type: str = "auto", options: Options = Options()) -> dict[str, DataFrame]:
-    """Report on one log. Detection looks at the first lines and runs at once."""
+    """Report on one log. Detection looks at the first lines and runs at once.
+
+    Several sources make one report if all of them have the same type; with
+    several types ValueError points to :func:`batch`.
+    """
     detected = None
     if not log_type or log_type == "auto":
-        found = detect_types(lines).orderBy("source").first()
-        if found is None or found["log_type"] is None:
-            raise ValueError("Could not auto-detect log type. Please select the log type manually.")
-        log_type, detected = found["log_type"], found
+        # as many rows as there are types
+        kinds = detect_types(lines).where("filled").groupBy("log_type").agg(F.min_by("confidence", "source").alias("confidence")).collect()
+        names = sorted(k["log_type"] for k in kinds if k["log_type"] is not None)
+        if not names:
+            raise ValueError(UNDETECTED)
+        if len(kinds) > 1:
+            raise ValueError(f"The sources differ in type ({', '.join(names)}{' and undetected' * (len(kinds) > len(names))}): use batch")
+        log_type, detected = names[0], kinds[0]
     out = report(parse(lines, log_type, options), log_type, options)
     spark = lines.sparkSession
     facts = [(log_type, LABELS[log_type], detected["confidence"] if detected else None)]
@@ -87,15 +98,14 @@ def typed_sources(lines: DataFrame, log_type: str = "auto") -> DataFrame:
 
     A source whose first lines are all blank counts as one without content.
     """
-    empty = F.concat(F.lit("No content in "), F.col("source"))
+    empty = F.concat(F.col("source"), F.lit(" holds no lines to read"))
     found = detect_types(lines)
     if log_type and log_type != "auto":
         known = log_type in PARSERS
-        problem = F.lit(None) if known else F.lit(f"Unknown log type: {log_type}")
+        problem = F.lit(None) if known else F.lit(f"No such log type: {log_type}")
         kind, sure = F.lit(log_type if known else None), F.lit(None)
     else:
-        guess = F.lit("Could not auto-detect log type. Please select the log type manually.")
-        problem = F.when(F.col("log_type").isNull(), guess)
+        problem = F.when(F.col("log_type").isNull(), F.lit(UNDETECTED))
         kind, sure = F.col("log_type"), F.col("confidence")
     return found.select(
         "source", F.when(F.col("filled"), kind).cast("string").alias("log_type"),
@@ -209,14 +219,20 @@ def correlate(lines: DataFrame, log_type: str = "auto", options: Options = Optio
         more = timeline_rows(parse(part, t, options), t, options.exclude)
         rows = more if rows is None else rows.unionByName(more)
     if rows is None:
-        raise ValueError("No valid logs to correlate")
+        raise ValueError("No source has a log type: nothing to correlate")
     return rows.orderBy("timestamp", "source", "line_no")
 
 
+def timeline_totals(timeline: DataFrame) -> DataFrame:
+    """One row: events and sources of a timeline."""
+    return timeline.groupBy("source").agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_events"), F.count("*").alias("sources"))
+
+
 def type_counts(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("type").agg(F.count("*").alias("events"))
 
 
 __all__ = ["LABELS", "LOG_TYPES", "PARSERS", "REPORTS", "TARGETS", "analyze", "batch", "batch_overview", "compare",
-           "correlate", "parse", "register", "report", "shared_clients", "split_by_type", "timeline_rows",
+           "correlate", "parse", "register", "report", "shared_clients", "split_by_type", "timeline_rows", "timeline_totals",
            "type_counts", "typed_sources"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.functions.clock import hour_key
@@ -38,8 +39,11 @@ def error_samples(levels: tuple[str, ...], upper: bool = False, limit: int | Non
         message = F.col("message") if length is None else F.left("message", F.lit(length))
         rows = indexed_rows(entries(df, o.exclude), level.isin(*levels), {
             "timestamp": F.col("timestamp"), "level": F.col(name), "message": message})
+        if limit is not None and o.by:
+            place = F.row_number().over(W.partitionBy(*o.by).orderBy("source", "entry_idx"))
+            rows = rows.withColumn("_place", place).where(F.col("_place") <= limit)
         rows = rows.orderBy("source", "entry_idx")
-        if limit is not None:
+        if limit is not None and not o.by:
             rows = rows.limit(limit)
         return rows.select(*o.by, "timestamp", "level", "message", "entry_idx")
     return output

@@ -72,7 +72,7 @@ def checkpoint_metrics(df: DataFrame, o: Options) -> DataFrame:
     sums = c.groupBy(*o.by).agg(
         F.count("*").alias("count"), F.count("total_s").alias("timed"),
         mean("total_s").alias("t"), F.max("total_s").alias("t_max"), mean("write_s").alias("w"),
-        mean("sync_s").alias("s"), (F.sum("buffers") / F.nullif(F.count("buffers"), F.lit(0))).alias("b"))
+        mean("sync_s").alias("s"), (F.sum(F.col("buffers").cast("decimal(38,0)")).cast("double") / F.nullif(F.count("buffers"), F.lit(0))).alias("b"))
     zero = F.lit(0.0)
     return sums.where(F.col("timed") > 0).select(
         *o.by, "count", round_exact(F.col("t"), 3).alias("total_avg"), round_exact(F.col("t_max"), 3).alias("total_max"),

@@ -57,7 +57,7 @@ def incidents(df: DataFrame, o: Options) -> DataFrame:
 def summary(df: DataFrame, o: Options) -> DataFrame:
     e = entries(df, o.exclude)
     timing = stats.describe(e, o.by, F.col("response_time"), measures={
-        "total_bytes": ("sum", F.col("bytes")), "errors": ("sum", _one(F.col("status") >= 400))})
+        "total_bytes": ("total", F.col("bytes")), "errors": ("sum", _one(F.col("status") >= 400))})
     distinct = e.groupBy(*o.by).agg(
         F.count_distinct("ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths"))
     found = incidents(df, o).groupBy(*o.by).agg(F.count("*").alias("incident_count"))
@@ -112,7 +112,7 @@ def ip_details(df: DataFrame, o: Options) -> DataFrame:
     e = entries(df, o.exclude)
     base = stats.describe(e, [*o.by, "ip"], F.col("response_time"), quantiles={"p95": 0.95}, measures={
         "first_seen": ("min", F.col("timestamp")), "last_seen": ("max", F.col("timestamp")),
-        "total_bytes": ("sum", F.col("bytes")), "first_line": ("min", F.col("line_no"))})
+        "total_bytes": ("total", F.col("bytes")), "first_line": ("min", F.col("line_no"))})
     codes = fq.status_lists(e, F.col("ip"), F.col("status"), "ip", o.by)
     return base.join(codes, [*o.by, "ip"], "left").orderBy(*o.by, F.col("rows").desc(), "first_line").select(
         *o.by, "ip", F.col("rows").alias("total"), "first_seen", "last_seen", "total_bytes",

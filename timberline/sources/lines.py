@@ -25,18 +25,26 @@ def lines_from_text(spark: SparkSession, text: str, source: str = "pasted") -> D
 
 
 def lines_from_files(spark: SparkSession, files: Iterable[tuple[str, str]]) -> DataFrame:
-    """Lines of several pasted texts, given as ``(name, content)``."""
-    rows = [
-        (name, i, line)
-        for name, content in files
-        for i, line in enumerate(content.strip().splitlines())
-    ]
+    """Lines of several pasted texts, given as ``(name, content)``.
+
+    A name that came before gets a number, ``a.log (2)``: each text is a source of its own.
+    """
+    seen: dict[str, int] = {}
+    rows = []
+    for name, content in files:
+        seen[name] = seen.get(name, 0) + 1
+        source = name if seen[name] == 1 else f"{name} ({seen[name]})"
+        rows += [(source, i, line) for i, line in enumerate(content.strip().splitlines())]
     return spark.createDataFrame(rows, LINES_SCHEMA)
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], full_path: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], full_path: bool = True) -> DataFrame:
     """Text files as numbered lines. Undecodable bytes read as U+FFFD.
 
+    The source is the whole path. ``full_path=False`` gives the last part of the
+    path instead, and raises ValueError where two files share it: (source,
+    line_no) has to name one line.
+
     Numbering needs no shuffle of the text. Rows of one split arrive in file
     order, so ``monotonically_increasing_id`` is consecutive within a split. A
     first pass that reads no text column counts the lines of each split and
@@ -66,6 +74,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], full_path: bool
     split_bound = raw.rdd.getNumPartitions() + len(raw.inputFiles())
     if split_bound <= _MAX_BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
+    if not full_path:
+        files = raw.inputFiles()
+        if len({f.rpartition("/")[2] for f in files}) < len(files):
+            raise ValueError("Several files have one name: read them with full_path=True")
     name = F.col("path") if full_path else F.element_at(F.split("path", "/"), -1)
     return located.join(offsets, ["path", "split_start"]).select(
         name.alias("source"), (F.col("row_id") + F.col("shift")).alias("line_no"), "value"
@@ -73,7 +85,11 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], full_path: bool
 
 
 def lines_of(df: DataFrame, value: str, line_no: str, source: str | None = None, name: str = "table") -> DataFrame:
-    """Any table of texts as lines; ``line_no`` must follow the order of the lines."""
+    """Any table of texts as lines.
+
+    ``line_no`` counts from 0 without gaps within a source: detection looks at the
+    lines below 50, and line 0 is the header of a CSV source.
+    """
     src = F.col(source).cast("string") if source else F.lit(name)
     return df.select(
         src.alias("source"), F.col(line_no).cast("bigint").alias("line_no"), F.col(value).alias("value")

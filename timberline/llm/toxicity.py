@@ -124,12 +124,15 @@ def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 18, dims: int = 8,
     if not any(t.strip() for t in texts):
         return Model(np.zeros(buckets), 0.0, window)
     rng = np.random.default_rng(seed)
-    split = [t.lower().split() for t in texts]
     ids: dict[str, int] = {}
-    coded = [np.array([ids.setdefault(w, len(ids)) for w in ws], dtype=np.int64) for ws in split]
-    found = grams([" ".join(ids)], buckets)
-    order = np.argsort(found.word, kind="stable")
-    gram_of, n_grams = found.bucket[order], np.bincount(found.word, minlength=len(ids))
+    coded = [np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.int32) for t in texts]
+    vocabulary, found, sizes_found = list(ids), [], []
+    for at in range(0, len(vocabulary), 1 << 14):  # in pieces: the driver holds little at a time
+        part = grams([" ".join(vocabulary[at:at + (1 << 14)])], buckets)
+        found.append(part.bucket[np.argsort(part.word, kind="stable")].astype(np.int32))
+        sizes_found.append(np.bincount(part.word, minlength=int(part.words_of_text.sum())))
+    gram_of, n_grams = np.concatenate(found), np.concatenate(sizes_found)
+    del vocabulary, found
     gram_from = np.cumsum(n_grams) - n_grams
     vectors = rng.normal(0, 0.05, (buckets, dims)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (dims, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
@@ -183,7 +186,7 @@ def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 18, dims: int = 8,
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column, carry: tuple[str, ...] = (), label: str = "toxic",
-             most_rows: int = 5_000, most_chars: int = 20_000) -> DataFrame:
+             most_rows: int = 4_000, most_chars: int = 20_000) -> DataFrame:
     """doc_id, `carry`, score for every row of docs. `train` (on doc_id) tells which labels may be used."""
     sample = labelled_sample(labels.where(train), label, most_rows)
     # the sample has a proven size, so it is sent to the documents; what comes back is bounded by both limits

@@ -118,7 +118,8 @@ def _distinct(values: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 18, dims: int = 8, window: int = 8, warm_epochs: int = 2,
-        epochs: int = 4, batch: int = 64, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Model:
+        epochs: int = 4, batch: int = 64, rate: float = 0.5, decay: float = 1e-5, seed: int = 5,
+        least_steps: int = 300) -> Model:
     """In the first epochs every passage counts as its text is labelled, which sorts out n-grams that clean texts use;
     then a text's loss is that of its most toxic passage (for clean texts its four most toxic ones)."""
     if not any(t.strip() for t in texts):
@@ -141,6 +142,9 @@ def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 18, dims: int = 8,
     class_weight = np.sqrt(0.5 / np.array([max(1 - y.mean(), 1e-3), max(y.mean(), 1e-3)]))
     full = [i for i, c in enumerate(coded) if len(c)]
     step, word_place, gram_place = 0, np.zeros(len(ids), dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+    # small samples go round oftener: at least `least_steps` steps in all
+    more = max(1, -(-least_steps // ((warm_epochs + epochs) * max(1, -(-len(full) // batch)))))
+    warm_epochs, epochs = warm_epochs * more, epochs * more
     for epoch in range(warm_epochs + epochs):
         shuffled = rng.permutation(full)
         speed = rate * (1 - epoch / (warm_epochs + epochs))

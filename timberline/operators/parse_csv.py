@@ -37,6 +37,9 @@ COLUMN_NAMES = {
 }
 TARGETS = list(COLUMN_NAMES)
 
+# Header text up to this size is broadcast; split into names and positions it grows about tenfold.
+_BROADCAST_BYTES = 16 << 20
+
 
 def _target_of(header: Column) -> Column:
     """Canonical column a header name stands for; the first in order wins."""
@@ -95,8 +98,16 @@ def read_headers(lines: DataFrame) -> DataFrame:
     return map_headers(first)
 
 
+def header_bytes(lines: DataFrame) -> int:
+    """Bytes of the first lines of all sources and of their names."""
+    held = lines.where(F.col("line_no") == 0).agg(F.sum(
+        F.coalesce(F.octet_length("value"), F.lit(0)) + F.octet_length("source")).alias("n"))
+    return held.first()["n"] or 0
+
+
 def _result_level(raw: Column) -> Column:
     """Level and message told by a ``results`` value, first rule wins."""
+    # fixed values: patterns, level words and messages of the rules
     error_y = F.regexp_extract(raw, r"'error':\s*'([^']*)'", 1)
     error = F.regexp_extract(raw, r"'error':\s*'([^']+)'", 1)
     detail, field = r"'detail':\s*ErrorDetail\(string='([^']*)'", r"'non_field_errors':\s*\[ErrorDetail\(string='([^']*)'"
@@ -123,10 +134,13 @@ def parse_csv(lines: DataFrame) -> DataFrame:
 
     Short rows are padded with NULL, blank fields are NULL, rows without any
     value are unparsed; the header line itself has ``is_header``. The header
-    table has one row per source; Spark broadcasts it when its measured size
-    allows and joins by source otherwise.
+    table has one row per source. A job that reads the first lines measures it
+    at once: up to ``_BROADCAST_BYTES`` of text it is broadcast, so that no other
+    text is shuffled; beyond that the rows are joined by source.
     """
     headers = read_headers(lines).where(F.size("names") >= 2)
+    if header_bytes(lines) <= _BROADCAST_BYTES:
+        headers = F.broadcast(headers)
     text, f = F.col("_text"), F.col("_f")
     joined = lines.select("source", "line_no", strip(F.col("value")).alias("_text")).join(headers, "source", "left")
     has_header = F.col("names").isNotNull()

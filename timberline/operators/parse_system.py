@@ -29,6 +29,9 @@ def mark_traces(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     value along the source, done block by block.
 
     ``trace_line`` is the line number of the start for swallowed lines.
+
+    Lines that cannot continue a trace pass without a shuffle. For the carry
+    they send only their number and mark; the text of the other lines goes along.
     """
     text = F.col("_text")
     has_word = rules.any_text(F.col("_low"), rules.TRACE_START)
@@ -42,21 +45,24 @@ def mark_traces(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     could_continue = ~has_word & F.contains(text, F.lit("kernel:")) & ~capital
     marked = once(
         once(lines.select("source", "line_no", strip(F.col("value")).alias("_text")), _low=F.lower("_text")),
-        starts_trace=starts, _cont=could_continue,
+        starts_trace=starts, _cont=F.coalesce(could_continue, F.lit(False)),
     ).drop("_low")
+    numbered = F.col("source").isNotNull() & F.col("line_no").isNotNull()
+    plain = marked.where(numbered & ~F.col("_cont")).select(
+        "source", "line_no", "_text", "starts_trace", F.lit(None).cast("bigint").alias("trace_line"))
     fence = F.when((text != "") & ~F.col("_cont"), F.when(F.col("starts_trace"), F.col("line_no")).otherwise(F.lit(-1)))
-    carried = last_before(marked, fence.cast("bigint"), "_fence", block_lines)
-    return carried.select(
-        "source", "line_no", "_text", "starts_trace",
-        F.when(F.col("_cont") & (F.col("_fence") >= 0), F.col("_fence")).alias("trace_line"),
-    )
+    slim = marked.select("source", "line_no", F.when(F.col("_cont"), text).alias("_text"), fence.cast("bigint").alias("_v"))
+    carried = last_before(slim, F.col("_v"), "_fence", block_lines).where(F.col("_text").isNotNull())
+    return plain.unionByName(carried.select(
+        "source", "line_no", "_text", F.lit(False).alias("starts_trace"),
+        F.when(F.col("_fence") >= 0, F.col("_fence")).alias("trace_line")))
 
 
 def parse_syslog(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """RFC 3339 or BSD syslog lines with severity, category, auth and anomaly findings.
 
-    Only the raw text is shuffled (for the trace carry); it is parsed after
-    that. ``trace_line_count`` is 1 for a trace start; ``trace_line`` on swallowed
+    Only raw text that could continue a trace is shuffled; all text is parsed
+    after that. ``trace_line_count`` is 1 for a trace start; ``trace_line`` on swallowed
     lines allows counting the lines of each trace.
     """
     g, text = F.col("_g"), F.col("_text")

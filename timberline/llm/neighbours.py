@@ -11,7 +11,7 @@ those that beat its own last neighbour. Groups come from joins and one shuffle;
 of bounded groups.
 
 Search. All queries walk at once: a beam of `beam` nodes per query; every hop joins the neighbours of the best nodes not
-yet opened, both ways of an edge, and keeps the best, until no beam has one left or `hops` are done. The found nodes are compared exactly, in
+yet opened, both ways of an edge (backwards the `back` nearest), and keeps the best, until no beam has one left or `hops` are done. The found nodes are compared exactly, in
 double precision on the original vectors.
 
 The index holds every row; nothing is sampled. Defined results: vectors that are null, empty, zero or hold null or
@@ -237,11 +237,24 @@ BEAM = "q long, qvec binary, nbr array<bigint>, sim array<float>, opened array<b
 _BEAM = ["q", "qvec", "nbr", "sim", "opened", "todo"]
 
 
-def search(state: DataFrame, queries: DataFrame, dims: int, beam: int = 160, opens: int = 20, hops: int = 12) -> DataFrame:
+def ways(state: DataFrame, back: int) -> DataFrame:
+    """(at, cands): the nodes an edge leads to from each node, its own neighbours and the `back` nearest that have it as one.
+
+    The lists are bounded, so a node that very many others point to is one short row like any other.
+    """
+    edges = state.select("node", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("node", "e.nbr", "e.sim")
+    nearest_first = Window.partitionBy("nbr").orderBy(F.desc("sim"), "node")
+    to = edges.withColumn("place", F.row_number().over(nearest_first)).where(F.col("place") <= back)
+    both = state.select(F.col("node").alias("at"), F.explode("nbr").alias("cand")).unionByName(
+        to.select(F.col("nbr").alias("at"), F.col("node").alias("cand")))
+    return both.groupBy("at").agg(F.collect_set("cand").alias("cands"))
+
+
+def search(state: DataFrame, queries: DataFrame, dims: int, beam: int = 96, opens: int = 24, hops: int = 8,
+           back: int = 32) -> DataFrame:
     """(q, nbr, sim) of the beam of each query node, from (q, qvec, nbr): its vector and where it starts."""
     vectors = state.select(F.col("node").alias("cand"), "vec")
-    out = state.select(F.col("node").alias("at"), F.explode("nbr").alias("cand"))
-    links = common.stored(out.unionByName(out.select(F.col("cand").alias("at"), F.col("at").alias("cand"))).distinct(), "ways")
+    links = common.stored(ways(state, back), "ways")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "q"):
@@ -288,14 +301,16 @@ def search(state: DataFrame, queries: DataFrame, dims: int, beam: int = 160, ope
         todo = beams.select("q", F.explode("todo").alias("at"))
         if todo.isEmpty():
             break
-        step = todo.join(links, "at").select("q", "cand").where("q <> cand").distinct()
-        held = beams.select("q", F.explode("nbr").alias("cand"))
-        wanted = step.join(held, ["q", "cand"], "left_anti").join(vectors, "cand").select("q", "cand", "vec")
+        # at most opens * (degree + back) ids a query: whole lists travel, and what the beam holds is taken out before vectors join
+        step = todo.join(links, "at").groupBy("q").agg(F.flatten(F.collect_list("cands")).alias("cands"))
+        known = beams.select("q", F.array_append("nbr", F.col("q")).alias("known"))
+        wanted = step.join(known, "q").select("q", F.explode(F.array_except("cands", "known")).alias("cand")).join(
+            vectors, "cand").select("q", "cand", "vec")
     return beams.select("q", F.explode(F.arrays_zip("nbr", "sim")).alias("e")).select("q", F.col("e.nbr").alias("nbr"), F.col("e.sim").alias("sim"))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, degree: int = 32, trees: int = 16, rounds: int = 3, beam: int = 160,
-            opens: int = 20, hops: int = 12) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, degree: int = 32, trees: int = 16, rounds: int = 3, beam: int = 96,
+            opens: int = 24, hops: int = 8) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, from rows (vec_id, embedding).
 
     `is_query` is a condition on vec_id. Every other row is a candidate.

@@ -21,6 +21,7 @@ from timberline.plans.options import Options
 from timberline.sinks.files import as_json, text_summary
 from timberline.sinks.history import history_rows, list_reports
 from timberline.sources import derived
+from timberline.sources.lines import lines_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -500,6 +501,19 @@ add("correlate_timeline", lambda s, d: an.correlate(derived.all_lines(s, d)).sel
     "timestamp", "type", "source", "summary", "line_no"), x.query(_EVERY, _TIMELINE))
 add("correlate_type_counts", lambda s, d: an.type_counts(an.correlate(derived.all_lines(s, d))),
     x.query(_EVERY, f"SELECT type, CAST(count(*) AS BIGINT) AS events FROM ({_TIMELINE}) GROUP BY 1"))
+add("correlate_totals", lambda s, d: an.timeline_totals(an.correlate(derived.all_lines(s, d))), x.query(
+    _EVERY, f"SELECT CAST(count(*) AS BIGINT) AS total_events, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM ({_TIMELINE})"))
+
+
+def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a source of its own, its lines numbered without gaps."""
+    parts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    return lines_of(parts, "line", "place", "doc_id")
+
+
+add("document_lines", _document_lines, """SELECT CAST(doc_id AS VARCHAR) AS source, CAST(unnest(range(len(parts))) AS BIGINT) AS line_no,
+  unnest(parts) AS value FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)""")
 
 
 def _by_host(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,17 @@ def test_packing(docs, none):
     assert set(by_doc) == set(ids) and packing.pack(none).count() == 0
 
 
+def test_added_tokens_keep_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    end = "<|endoftext|>"
+    for text in (end, f"{end} at the start", f"a {end} b", f"twice {end}{end}\n in a row", f"x  {end}\n\n {end[:-1]}", f"<{end}>'s", ""):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert encode(f"a {end} b").tolist() == [64, 220, 50256, 275]
+
+
 def test_rule_measures(docs, none):
     got = collections.Counter()
     for r in rules.measures(docs).collect():

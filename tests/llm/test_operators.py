@@ -11,11 +11,14 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from timberline.llm import language, licenses, lines, mixing, neighbours, packing, quality, rules, simhash, toxicity
+import corpus_pipeline
+from timberline.llm import language, licenses, lines, mixing, neighbours, overlaps, packing, quality, rules, simhash, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, lines string, h1 string, size string"
 
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def _documents():
     rnd = random.Random(3)
@@ -99,6 +102,47 @@ def test_links_are_complete(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
 
 
+def test_near_copies_are_complete(spark, docs, none):
+    rnd = random.Random(5)
+    rows = []
+    for g in range(30):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([4, 9, 40, 120, 300]))]
+        for _ in range(6):  # one edit costs up to 5 shingles
+            own = list(base)
+            for _ in range(rnd.randrange(1 + len(own) // 25)):
+                own[rnd.randrange(len(own))] = f"v{rnd.randrange(400)}"
+            rows.append((len(rows) * 7 % 180, " ".join(own)))
+
+    def sets(text):
+        w = _lower(text).encode().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    for table, given in ((docs, [r[:2] for r in DOCS]), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+        members, group = [sets(t) for _, t in given], list(range(len(given)))
+        far = 0
+        for i, a in enumerate(members):
+            for j, b in enumerate(members[:i]):
+                if 10 * len(a & b) >= 8 * len(a | b):
+                    far += (simhash.fingerprint(given[i][1]) ^ simhash.fingerprint(given[j][1])).bit_count() > 4
+                    group = [group[j] if g == group[i] else g for g in group]
+        least = collections.defaultdict(lambda: 2**70)
+        for g, (doc_id, _) in zip(group, given):
+            least[g] = min(least[g], 2**70 if doc_id is None else doc_id)
+        got = overlaps.near_copies(table).select("doc_id", "component_id").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, least[g])) for g, (d, _) in zip(group, given))
+    assert far > 20  # similar pairs that a distance of 4 bits does not reach
+    assert overlaps.near_copies(none).count() == 0
+
+
+def test_pipeline_drops_similar_documents(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [w if i not in (20, 90) else "x" for i, w in enumerate(words)]
+    assert overlaps.similarity(" ".join(words), " ".join(near)) > 0.8
+    assert (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(near))).bit_count() > 4
+    table = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(near), "en", "s", 0)], PIPELINE_SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()] == [1]
+
+
 def test_mixing(docs, none):
     size = collections.Counter()
     for r in DOCS:

@@ -32,23 +32,32 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, words_each: int = 4) -> int:
-    """A bit is 1 if it is set in over half of the hashes of all shingles of the text."""
+def shingle_hashes(text: str | None, words_each: int = 4) -> np.ndarray:
+    """The hashes of all shingles of the text, repeated ones included; none for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - words_each + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(
         starts[:n].tolist(), ends[min(words_each, len(words)) - 1:].tolist())], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(hashes), 1 << 14):
         part = hashes[at:at + (1 << 14)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * counts > n))
+    return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(hashes)))
+
+
+def fingerprint(text: str | None, words_each: int = 4) -> int:
+    """A bit is 1 if it is set in over half of the hashes of all shingles of the text."""
+    return majority(shingle_hashes(text, words_each))
 
 
 def fingerprints(docs: DataFrame, carry: tuple[str, ...] = (), words_each: int = 4) -> DataFrame:

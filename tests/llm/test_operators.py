@@ -236,6 +236,14 @@ def test_licenses(docs, none):
     assert licenses.scan(docs).count() == len(DOCS) and licenses.scan(none).count() == 0
 
 
+def test_every_tag_of_a_line_is_parsed():
+    machine = licenses.automaton()
+    out = licenses.scan_text("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0 OR Apache-2.0 x", machine)
+    assert out[5] == "apache,gpl,mit" and [e[:3] for e in out[7]] == [("mit", True, "mit"), ("gpl-2.0 or apache-2.0", True, "gpl-2.0 apache-2.0 or")]
+    out = licenses.scan_text("é SPDX_License_Identifier: MIT\nspdx  license\nidentifier isc or\nlicense expression", machine)
+    assert [e[:2] for e in out[7]] == [("mit", True), ("isc or", False), ("", False)] and out[5] == "mit"
+
+
 def test_language(spark, none):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([
         ("the cat and the dog were in the garden with them", "en"), ("le chat et le chien dans le jardin avec eux", "fr"),

@@ -2,7 +2,7 @@
 
 Words are runs of digits, letters and non-ASCII characters of the lower-cased text. One pass of the automaton over the
 words finds base phrases, notice phrases and identifier tags at once, overlapping ones included. What follows a tag
-in its line is an expression of licence ids with and, or, with and parentheses; it is brought to postfix order and
+in its line, up to the next tag, is an expression of licence ids with and, or, with and parentheses; it is brought to postfix order and
 evaluated: `and` takes the union of obligations, `or` leaves a choice (the mildest side counts), `with` attaches an
 exception that makes a licence one step milder.
 
@@ -46,7 +46,8 @@ FAMILIES = (
 WEIGHT = {"base": 0.6, "notice": 0.7, "expression": 0.9}
 _SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 _TO_BLANK = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-_EXPRESSION = re.compile(r"(?:spdx[- ]license[- ]identifier|license[- ]expression)\s*:?[ \t]*([^\n]*)")
+_WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+_AFTER_TAG = re.compile(r"\s*:?[ \t]*")
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 
 
@@ -149,7 +150,8 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     words = raw.translate(_TO_BLANK).split()
     line = " " + b" ".join(words).decode() + " "
     places: list[tuple[str, int, str]] = []
-    word, upto, tagged = 0, 0, False
+    tags: list[tuple[int, int]] = []  # first word and the one after the last
+    word, upto = 0, 0
     for end, (back, uses) in machine.iter(line):
         start = end - back  # of the blank before the phrase
         if start >= upto:
@@ -159,15 +161,20 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
         upto = start
         for kind, label in uses:
             if kind == "tag":
-                tagged = True
+                tags.append((word, word + line.count(" ", start + 1, end + 1)))
             else:
                 places.append((kind, word, label))
     base = [(at, label) for kind, at, label in places if kind == "base"]
     weights = {label: WEIGHT[kind] for kind, _, label in sorted(places, reverse=True)}
     expressions = []
-    if tagged:
-        for found in _EXPRESSION.finditer(raw.decode()):
-            tokens = tokens_of(found[1])
+    if tags:
+        lowered = raw.decode()
+        spans = [found.span() for found in _WORD.finditer(lowered)]
+        tags.sort()
+        for (_, after), (following, _) in zip(tags, [*tags[1:], (len(spans), 0)]):
+            at = _AFTER_TAG.match(lowered, spans[after - 1][1]).end()
+            upto = spans[following][0] if following < len(spans) else len(lowered)
+            tokens = tokens_of(lowered[at:upto].split("\n", 1)[0])
             order = postfix(tokens)
             value = evaluate(order) if order else None
             expressions.append((" ".join(tokens), value is not None, " ".join(order or []), value[1] if value else None))

@@ -274,6 +274,15 @@ def test_classifiers(spark, docs, none):
         assert {r.score for r in classify(table, labels.limit(0), train).collect()} == {0.5}
 
 
+def test_statistics_of_very_long_texts():
+    words = [f"w{i}" for i in random.Random(6).choices(range(1500), k=2_000_001)]
+    got = dict(zip(quality.STATISTICS, quality.statistics(" ".join(words))))
+    triples = set(zip(words, words[1:], words[2:]))
+    assert got["repeated_triples"] == pytest.approx(1 - len(triples) / (len(words) - 2))
+    assert got["repeated_pairs"] == pytest.approx(1 - len(set(zip(words, words[1:]))) / (len(words) - 1))
+    assert dict(zip(quality.STATISTICS, quality.statistics("12345abc 678")))["words_with_letter"] == 0.5
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * rng.uniform(0.5, 2, (400, 1))

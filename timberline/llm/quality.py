@@ -51,15 +51,16 @@ def statistics(text: str | None) -> list[float]:
     ids: dict[bytes, int] = {}
     coded = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
     pairs = coded[:-1] * n + coded[1:]
-    triples = pairs[:-1] * n + coded[2:] if n < 2_000_000 else pairs
+    distinct_pairs, pairs = np.unique(pairs, return_inverse=True)  # codes under n: no product below overflows
+    triples = pairs[:-1] * n + coded[2:]
     lines = [x for x in raw.split(b"\n") if x.strip()]
     share = by_byte[by_byte > 0] / len(raw)
     lasts = _CLASS_OF[np.array([w[-1] for w in words], dtype=np.uint8)]
-    letters = sum(1 for w in ids if any(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in w[:4])) / len(ids)
+    letters = sum(1 for w in ids if any(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in w)) / len(ids)
     caps = sum(w.isupper() for w in words) / n
     return [
         math.log1p(n), float(lengths.mean()), float(lengths.std()), math.log1p(float(lengths.max())), len(ids) / n,
-        float(np.bincount(coded).max()) / n, 1 - len(np.unique(pairs)) / len(pairs) if n > 1 else 0.0,
+        float(np.bincount(coded).max()) / n, 1 - len(distinct_pairs) / len(pairs) if n > 1 else 0.0,
         1 - len(np.unique(triples)) / len(triples) if n > 2 else 0.0, math.log1p(len(lines)), math.log1p(n / len(lines)),
         len(set(lines)) / len(lines), sum(len(x) < 30 for x in lines) / len(lines), *kinds[1:].tolist()[:5], float(kinds[6]),
         float(kinds[7]), float(raw.rstrip()[-1:] in b".!?"), letters, caps, float((lasts == 3).mean() + (lasts == 4).mean()),

@@ -6,11 +6,14 @@ language where that pair has under `least_docs` documents, or the rest of all. P
 determinant estimate is found by concentration steps: from medians and spreads, take the `share` of documents nearest to
 the centre, estimate mean and covariance from them, and again. One step is one fold of all vectors to
 (cell, distance bin) sums with map-side combining, so a cell with a third of all documents is at most `_BINS` rows per
-task; no cell is gathered. A document is rejected if its squared Mahalanobis distance is above `cutoff`.
+task; no cell is gathered. A document is rejected if its squared Mahalanobis distance is above `cutoff`, which is by default
+three times the 0.999 point of the chi-square distribution, since texts have heavier tails than normal vectors.
 
 Only documents that pass the base rules take part in the estimate and can be outliers. A cell with under `least_docs`
-documents after pooling rejects nobody. Variances have a floor, so constant statistics don't make every deviation an
-outlier; and only deviations towards junk count (a text with fewer symbols or repeats than usual is no outlier).
+documents after pooling rejects nobody. Most texts have no symbol, repeat or double line at all, so the share of these is taken with
+some imaginary clean words or lines added: one repeat in a short text is then a small share, and variances have a floor
+far below the spreads of the other statistics (half to a fifth of them and less), so that a constant does not make every deviation an
+outlier. Every statistic is clamped to 8 (8000 grid units), which only a mean word length of over 2,900 letters reaches.
 
 Defined results: null or blank text has no words and fails the base rules; null language or source is a value of its own;
 an empty table gives an empty result; only id, text, lang, source and the columns in `carry` are read.
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from timberline.llm import common
 
 # the vector: name and the least standard deviation, in grid units of 1/1000
-FLOOR = {"length": 60, "symbols": 40, "lines": 120, "repeats": 110, "capitals": 70, "variety": 90}
+FLOOR = {"length": 5, "symbols": 10, "lines": 15, "repeats": 15, "capitals": 5, "variety": 5}
+_CLEAN_LINES, _CLEAN_WORDS = 20, 200  # added to a text's own when shares of double lines and repeats are taken
 _BINS = 64
 _GRID = 1000
 _SMALL = 64  # so many repeated windows are looked up one by one; more are found by sorting
@@ -82,8 +86,8 @@ def _features(rows: DataFrame) -> DataFrame:
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     vector = {
         "length": F.log(chars / words), "symbols": F.log1p(20 * F.col("n_symbols") / chars),
-        "lines": F.sqrt(F.col("n_dup_lines") / F.greatest("n_full_lines", F.lit(1))),
-        "repeats": F.sqrt(F.col("n_repeat_words") / words), "capitals": F.log1p(20 * F.col("n_capitals") / chars),
+        "lines": F.col("n_dup_lines") / (F.col("n_full_lines") + _CLEAN_LINES),
+        "repeats": F.col("n_repeat_words") / (words + _CLEAN_WORDS), "capitals": F.log1p(20 * F.col("n_capitals") / chars),
         # the share of distinct words falls with length; the exponent of Herdan's law falls much less
         "variety": F.log(F.greatest("n_kinds", F.lit(1))) / F.log(F.greatest(words, F.lit(2)))}
     return rows.withColumns({f"x_{k}": F.least(F.round(v * _GRID), F.lit(8000)).cast("long") for k, v in vector.items()})
@@ -101,36 +105,35 @@ def _cells(rows: DataFrame, least_docs: int) -> DataFrame:
     return rows.join(pairs, "pair").drop("pair", "tongue")
 
 
-def consistency(share: float, p: int) -> float:
-    """Factor that makes the covariance of the nearest `share` of normal vectors consistent: share / P(chi2_{p+2} <= q)."""
-    def cdf(x: float, k: int) -> float:
-        a, total = k / 2, 0.0
-        term = 1 / a
-        for i in range(1, 400):
-            total += term
-            term *= x / 2 / (a + i)
-        return total * math.exp(-x / 2 + a * math.log(x / 2) - math.lgamma(a))
+def _chi2(x: float, k: int) -> float:
+    """The chi-square distribution with k degrees of freedom."""
+    a, total = k / 2, 0.0
+    term = 1 / a
+    for i in range(1, 400):
+        total += term
+        term *= x / 2 / (a + i)
+    return total * math.exp(-x / 2 + a * math.log(x / 2) - math.lgamma(a))
+
 
+def chi2_point(share: float, k: int) -> float:
+    """Where the distribution reaches `share`."""
     low, high = 1e-6, 200.0
     for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid, p) < share else (low, mid)
-    return share / cdf(low, p + 2)
+        low, high = (mid, high) if _chi2(mid, k) < share else (low, mid)
+    return low
 
 
-def _distance(names: list[str], one_sided: bool) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor l_i_j and the means m_i.
+def consistency(share: float, p: int) -> float:
+    """Factor that makes the covariance of the nearest `share` of normal vectors consistent: share / P(chi2_{p+2} <= q)."""
+    return share / _chi2(chi2_point(share, p), p + 2)
+
 
-    One-sided: a vector is first moved to the mean in the statistics in which it is on the harmless side.
-    """
-    harmless_below = {"symbols", "lines", "repeats", "capitals"}
+def _distance(names: list[str]) -> Column:
+    """Squared Mahalanobis distance by forward substitution with the Cholesky factor l_i_j and the means m_i."""
     z: list[Column] = []
     for i, name in enumerate(names):
         d = F.col(f"x_{name}") - F.col(f"m_{i}")
-        if one_sided and name in harmless_below:
-            d = F.greatest(d, F.lit(0.0))
-        elif one_sided and name == "variety":
-            d = F.least(d, F.lit(0.0))
         for j in range(i):
             d = d - F.col(f"l_{i}_{j}") * z[j]
         z.append(d / F.col(f"l_{i}_{i}"))
@@ -168,7 +171,7 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int = 4) -> DataFr
         state = common.stored(state, "estimate")
         # distances in bins that get wider: 8 to a doubling
         rows = vectors.join(state, "cell").withColumn("bin", F.least(F.floor(
-            8 * F.log2(1 + _distance(names, False))), F.lit(_BINS - 1)).cast("int"))
+            8 * F.log2(1 + _distance(names))), F.lit(_BINS - 1)).cast("int"))
         bins = rows.groupBy("cell", "bin").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(f"x_{a}").alias(f"s_{i}") for i, a in enumerate(names)],
             *[F.sum(F.col(f"x_{a}") * F.col(f"x_{b}")).alias(f"s_{i}_{j}")
@@ -183,16 +186,20 @@ def estimates(vectors: DataFrame, share: float = 0.75, steps: int = 4) -> DataFr
     return common.stored(state, "estimate")
 
 
+def distances(rows: DataFrame, least_docs: int = 100, share: float = 0.75, steps: int = 4) -> DataFrame:
+    """Adds `distance` to rows with cell, base_failed and the vector; null where the base rules fail or the cell is too small."""
+    passed = rows.where(~F.col("base_failed")).select("cell", *[f"x_{k}" for k in FLOOR])
+    state = estimates(passed, share, steps).where(F.col("in_cell") >= least_docs)
+    return rows.join(state, "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FLOOR))))
+
+
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = (), least_docs: int = 100, share: float = 0.75, steps: int = 4,
-                  cutoff: float = 150.0) -> DataFrame:
+                  cutoff: float | None = None) -> DataFrame:
     """One row per document: doc_id, lang, source, `carry`, the counts, base_failed, distance (null where there is no
     estimate or the base rules fail) and kept."""
-    names = list(FLOOR)
+    most = 3 * chi2_point(0.999, len(FLOOR)) if cutoff is None else cutoff
     rows = _features(measures(docs, carry).withColumn("base_failed", base_failed()))
     rows = _cells(common.stored(rows, "measures"), least_docs)
-    passed = rows.where(~F.col("base_failed")).select("cell", *[f"x_{k}" for k in names])
-    state = estimates(passed, share, steps).where(F.col("in_cell") >= least_docs)
-    far = F.when(~F.col("base_failed"), _distance(names, True))
-    return rows.join(state, "cell", "left").select(
+    return distances(rows, least_docs, share, steps).select(
         "doc_id", "lang", "source", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", far.alias("distance"), (~F.col("base_failed") & F.coalesce(far <= cutoff, F.lit(True))).alias("kept"))
+        "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= most, F.lit(True))).alias("kept"))

@@ -131,9 +131,14 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, ambiguous_below: float = 0.1, smoothing: float = 0.5) -> Model:
-    """A model from all rows (lang, text) that have both. What reaches the driver is languages x grams counts."""
-    counted = count_grams(rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())).toPandas()
+def fit(rows: DataFrame, ambiguous_below: float = 0.1, smoothing: float = 0.5, most_languages: int = 256) -> Model:
+    """A model from all rows (lang, text) that have both. What reaches the driver is languages x grams counts; a column with over
+    `most_languages` values is not one of languages and raises."""
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    found = rows.select("lang").distinct().limit(most_languages + 1).count()
+    if found > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
+    counted = count_grams(rows).toPandas()
     languages = sorted(counted["lang"].unique())
     counts = np.full((len(languages), BUCKETS), smoothing)
     at = {lang: i for i, lang in enumerate(languages)}

@@ -8,7 +8,8 @@ exception that makes a licence one step milder.
 
 Columns of `scan`: n_words; n_base, first_word, last_word, base_labels over the base phrases; labels, with those of notices
 and expressions; expressions (text, valid, postfix, strength from 0 public domain to 4 network copyleft, or null);
-places (label, first word) of all matches; score, 1 minus the product of (1 - weight) over the distinct labels found.
+places (label, first word) of all matches; score, 1 minus the product of (1 - weight) over the distinct labels found. A label
+found several ways counts once: as an expression if it is one, else as a base phrase, else as a notice.
 
 Defined results: null text is empty: no words, no labels (empty strings), score 0; a broken expression is kept with
 valid = false and adds no labels; repeated rows are repeated; only the id, the text and the columns in `carry` are read.

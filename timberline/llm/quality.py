@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,14 +157,19 @@ def labelled_sample(labels: DataFrame, label: str, most_rows: int) -> DataFrame:
     return rows.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "y").limit(most_rows)
 
 
+def first_rows(rows: DataFrame, row_hash: Column, most: int) -> pd.DataFrame:
+    """The first rows by hash of the id, id, label and `row_hash`: the same ones in every run, also where ids repeat."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"), row_hash]
+    return rows.orderBy(*order).limit(most).toPandas().sort_values("doc_id", kind="stable")
+
+
 def classify(docs: DataFrame, labels: DataFrame, train: Column, carry: tuple[str, ...] = (), label: str = "quality",
              most_rows: int = 20_000) -> DataFrame:
     """doc_id, `carry`, stats, score for every row of docs. `train` (on doc_id) tells which labels may be used."""
     rows = common.stored(with_statistics(docs, carry), "statistics")
     sample = labelled_sample(labels.where(train), label, most_rows)
     # the sample has a proven size, so it is sent to the statistics
-    got = rows.select("doc_id", "stats").join(F.broadcast(sample), "doc_id").limit(2 * most_rows).toPandas()
-    got = got.sort_values("doc_id", kind="stable")
+    got = first_rows(rows.select("doc_id", "stats").join(F.broadcast(sample), "doc_id"), F.xxhash64("stats"), 2 * most_rows)
     x = np.stack(got["stats"].to_list()).astype(np.float64) if len(got) else np.zeros((0, len(STATISTICS)))
     forest = docs.sparkSession.sparkContext.broadcast(boost(x, got["y"].to_numpy(dtype=float)))
     schema = rows.select("*").schema.add("score", "double")

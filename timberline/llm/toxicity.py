@@ -5,7 +5,7 @@ misspelling shares most vectors with the word it comes from. A passage of `windo
 words of their vectors; a softmax over two classes stands on it. A document is as toxic as its most toxic passage, in
 training and in scoring, so a few words in a long text aren't averaged away. Vectors and softmax are trained
 jointly by gradient steps in numpy, in the driver, on a bounded sample of labelled rows: `most_rows` rows (smallest hash of the
-id) of at most `most_chars` characters.
+id) of at most `most_chars` characters; where ids repeat, the first 2 * `most_rows` rows by hash of the id, id and hash of the text.
 
 As everything below the softmax is a mean, a trained model is one number per n-gram bucket. Tasks look up all n-grams
 of a batch of texts at once and average by words and passages with running sums.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.quality import labelled_sample
+from timberline.llm.quality import first_rows, labelled_sample
 
 _LEAST, _MOST = 3, 5
 _PART = 1 << 20  # characters looked up at a time
@@ -48,7 +48,8 @@ def grams(texts: list[str | None], buckets: int) -> Grams:
     if not words:
         return Grams(np.zeros(0, np.int64), np.zeros(0, np.int64), counts)
     codes = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype=np.uint32)
-    word_at = np.cumsum(codes == 2) - 1
+    # from the lengths: a text may hold the marks themselves
+    word_at = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     found_bucket, found_word = [], []
     code = np.full(len(codes), 2166136261, dtype=np.uint32)
     for n in range(1, _MOST + 1):
@@ -194,8 +195,8 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, carry: tuple[str
     """doc_id, `carry`, score for every row of docs. `train` (on doc_id) tells which labels may be used."""
     sample = labelled_sample(labels.where(train), label, most_rows)
     # the sample has a proven size, so it is sent to the documents; what comes back is bounded by both limits
-    got = docs.select("doc_id", "text").where(F.char_length("text") <= most_chars).join(F.broadcast(sample), "doc_id").limit(
-        2 * most_rows).toPandas().sort_values("doc_id", kind="stable")
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= most_chars).join(F.broadcast(sample), "doc_id")
+    got = first_rows(rows, F.xxhash64("text"), 2 * most_rows)
     model = docs.sparkSession.sparkContext.broadcast(fit(got["text"].to_list(), got["y"].to_numpy(dtype=float)))
     rows = docs.select("doc_id", *carry, "text")
     kept = rows.columns[:-1]

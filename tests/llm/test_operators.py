@@ -177,7 +177,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     pieces = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     ids = {r[0]: tok.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in DOCS if r[0] is not None}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
@@ -207,6 +206,57 @@ def test_added_tokens_keep_their_ids():
     assert encode(f"a {end} b").tolist() == [64, 220, 50256, 275]
 
 
+def test_runs_that_the_fast_library_refuses():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "ab" + " " * 1_200_000 + "cd <|endoftext|>"):
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_of_texts_that_hold_the_word_marks():
+    bad = ["ab\x02cd ef", "\x02\x03 \x03\x02 x", "".join(map(chr, range(32))) + "x", "\x00", "\x02" * 50]
+    clean, toxic = [f"good plain words {i}" for i in range(40)], [f"zorgvile scum {i}" for i in range(40)]
+    model = toxicity.fit([*clean, *toxic, *bad], np.array([0] * 40 + [1] * 40 + [0] * len(bad), dtype=float))
+    assert np.isfinite(model.gram_scores).all() and np.isfinite(model.bias)
+    scores = model.score([*bad, None, "", "good plain words", "zorgvile scum"])
+    assert ((scores >= 0) & (scores <= 1)).all() and scores[-1] > 0.5 > scores[-2]
+    # a text scores the same alone and among others
+    for text in bad:
+        assert model.score([text])[0] == pytest.approx(model.score(["other words", text, "more"])[1])
+
+
+def test_repeated_ids_teach_the_same_rows_in_every_run(spark):
+    rows = [(i % 5, f"text {i}", float(i)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, y int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stats double")
+    got = [quality.first_rows(docs.repartition(n).join(labels, "doc_id"), F.xxhash64("text"), 20)["text"].to_list() for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 20
+
+
+def test_columns_of_many_values_are_no_languages(spark):
+    rows = spark.createDataFrame([(f"l{i}", "some text") for i in range(30)], "lang string, text string")
+    with pytest.raises(ValueError):
+        language.fit(rows, most_languages=29)
+    assert len(language.fit(rows, most_languages=30).languages) == 30
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from timberline.llm import common
+
+    class Conf(dict):
+        get = dict.get
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        common.scratch_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:/shared/"
+    assert common.scratch_dir(Session()) == "hdfs:/shared"
+
+
 def test_rule_measures(docs, none):
     got = collections.Counter()
     for r in rules.measures(docs).collect():

@@ -32,11 +32,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
-    rows = docs.select(*COLUMNS)
-    grouped = overlaps.near_copies(rows.select("doc_id", "text"))
-    gone = grouped.where("doc_id <> component_id").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays: the one with the smallest id, null ids last,
+    equal ids by the hash of the text. Of rows that repeat both, the one with the least (lang, source, n_chars) stays."""
+    rows = docs.select(*COLUMNS).withColumn("key", overlaps.class_key(F.col("text")))
+    grouped = overlaps.near_copies(docs.select("doc_id", "text"))
+    # what is not simply kept: rows that go, and rows that stay but stand there several times
+    marked = grouped.groupBy("doc_id", "key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = common.stored(marked.where("not stays or n > 1").select(
+        F.col("doc_id").alias("marked_id"), F.col("key").alias("marked_key"), "stays"), "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("key") == F.col("marked_key"))
+    several = rows.join(marked.where("stays"), same, "left_semi").groupBy("doc_id", "key").agg(
+        F.min(F.struct("lang", "source", "n_chars", "text")).alias("least")).select(
+        "doc_id", "least.text", "least.lang", "least.source", "least.n_chars")
+    return rows.join(marked, same, "left_anti").select(*COLUMNS).unionByName(several)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ merged by itself. A word of up to `_SHORT` bytes is an array of parts, one per b
 of adjacent parts: scan the ranks for the minimum (the first of equal ones), delete the boundary there, refresh the rank on
 either side, until no adjacent pair has a rank. Scanning is quadratic, so a longer word takes the same merges from a
 heap of (rank, place) over linked parts. No word holds white space, so runs between it that come again are looked up in a
-bounded table.
+bounded table, and so are the words of new runs.
 
 Decoding joins the tokens of the ids with blanks, which is what a vocabulary file without a decoder asks for; ids that the
 vocabulary does not have are left out.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 _SHORT = 96
 _NONE = 1 << 40  # no merge
-_KEPT = 1 << 17  # runs in the table
+_KEPT = 1 << 18  # entries of each table
 _SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split, not for the pattern
 _SLICE = 1 << 22  # characters of text that leave a task at a time
 
@@ -70,6 +71,7 @@ class Vocabulary:
         splits = [p["pattern"]["Regex"] for p in made["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.word = regex.compile(splits[0])
         self.table: dict[str, bytes] = {}
+        self.merged_words: dict[str, bytes] = {}
         self._own = None
 
     # merging
@@ -123,7 +125,21 @@ class Vocabulary:
         raw = word.encode()
         parts = [self.inner[b] for b in raw[:-1]]
         parts.append(self.last[raw[-1]])
-        return np.array(self.scanned(parts) if len(parts) <= _SHORT else self.heaped(parts), dtype="<u4").tobytes()
+        if len(parts) > _SHORT:
+            return np.array(self.heaped(parts), dtype="<u4").tobytes()
+        parts = self.scanned(parts)
+        return struct.pack(f"<{len(parts)}I", *parts)
+
+    def known(self, word: str) -> bytes:
+        """`merged`, from the table of words if it has the word."""
+        found = self.merged_words.get(word)
+        if found is None:
+            found = self.merged(word)
+            if len(word) <= _SHORT:
+                if len(self.merged_words) >= _KEPT:
+                    self.merged_words.clear()
+                self.merged_words[word] = found
+        return found
 
     # texts
 
@@ -161,7 +177,7 @@ class Vocabulary:
             for i, found in enumerate(out):
                 if found is None:
                     run = runs[i]
-                    out[i] = found = table.get(run) or b"".join(map(self.merged, self.word.findall(run)))
+                    out[i] = found = table.get(run) or b"".join(map(self.known, self.word.findall(run)))
                     if len(run) <= _SHORT:
                         if len(table) >= _KEPT:
                             table.clear()

@@ -123,9 +123,7 @@ def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     def side(name: str) -> DataFrame:
         return classes.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in _SKETCH))
 
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(least)).where(
-        differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - least) / (1 + least)) + F.lit(_SLACK)).select("a", "b")
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(least) & _sketches_fit(least)).select("a", "b")
 
 
 def _sizes_fit(least: float) -> Column:
@@ -159,6 +157,11 @@ def close_copies(classes: DataFrame) -> DataFrame:
     return across.unionByName(same)
 
 
+def _sketches_fit(least: float) -> Column:
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
+    return differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - least) / (1 + least)) + F.lit(_SLACK)
+
+
 def _confirmed_of(pairs: DataFrame, docs: DataFrame, words_each: int, least: float) -> DataFrame:
     """The links among stored pairs; reads the texts of their classes only, one of each."""
     wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
@@ -181,14 +184,16 @@ def roots_of(docs: DataFrame, words_each: int, least: float) -> DataFrame:
     first = common.stored(possible(stars.unionByName(close_copies(classes)), classes, least), "candidates")
     links = _confirmed_of(first, docs, words_each, least)
     roots = components(links)
-    named = common.stored(holders.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "named")
-    x = named.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "root")))
-    y = named.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "root")))
+    named = holders.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = common.stored(named.join(classes.select("key", *_SKETCH), "key"), "named")
+    x = named.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "place", "root", *_SKETCH)))
+    y = named.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "place", "root", *_SKETCH)))
     room = 1 + F.least(F.col("n_a") - 1 - F.col("place_a"), F.col("n_b") - 1 - F.col("place_b"))
-    open_pairs = x.join(y, "shingle").where("key_a < key_b and root_a <> root_b").where(_sizes_fit(least)).where(
-        room >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - F.lit(_SLACK))
-    open_pairs = open_pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    more = common.stored(possible(open_pairs, classes, least).join(first, ["a", "b"], "left_anti"), "candidates")
+    fits = room >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - F.lit(_SLACK)
+    # all tests are part of the join: what it gives are pairs that may well be similar
+    open_pairs = x.join(y, "shingle").where("key_a < key_b and root_a <> root_b").where(_sizes_fit(least) & fits & _sketches_fit(least))
+    open_pairs = open_pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    more = common.stored(open_pairs.join(first, ["a", "b"], "left_anti"), "candidates")
     if more.isEmpty():
         return roots
     return components(links.unionByName(_confirmed_of(more, docs, words_each, least)))

@@ -2,13 +2,16 @@
 
 Nearness is the inner product. Vectors are divided by the greatest norm and get one more component that makes
 all norms equal, which leaves inner products with a query (whose extra component is 0) as they are and makes nearness
-between rows a metric one. Equal vectors are folded to one node before anything else.
+between rows a metric one. Equal vectors are folded to one node before anything else. Where norms differ much that component
+would hide all else, so there is a graph per octave of norms (`_BANDS` at most, the last for all shorter ones), each scaled by
+its own greatest norm. A query joins the graphs of other octaves as a guest, with its direction, and searches each.
 
-Build. Random hyperplanes put nodes into cells (`trees` times); each cell, in pieces of `cell` nodes at most, gives first
-neighbours. Then rounds of NN-descent: every node is the pivot of a group of its neighbours and of nodes that have it as
+Build. Random hyperplanes through the mean of all nodes put them into cells (`trees` times); a cell of more than `cell` nodes is
+dealt at random into pieces of about that size before anything is shuffled, and each piece gives first neighbours. Then rounds of NN-descent: every node is the pivot of a group of its neighbours and of nodes that have it as
 neighbour (at most `group`, new ones first); members of a group are compared with each other, and each learns of
-those that beat its own last neighbour. Groups come from joins and one shuffle; what a task holds is one batch
-of bounded groups.
+those that beat its own last neighbour. A node that very many others name keeps `group` of them per map task and `group` in
+all (the rank limit stands right above the window, so Spark cuts before the shuffle), and what a node learns is cut to its best `k` per
+512 pivots before it travels. Groups come from joins and one shuffle; what a task holds is one batch of bounded groups.
 
 Search. All queries walk at once: a beam of `beam` nodes per query; every hop joins the neighbours of the best nodes not
 yet opened, both ways of an edge (backwards the `back` nearest), and keeps the best, until no beam has one left or `hops` are done. The found nodes are compared exactly, in
@@ -17,7 +20,8 @@ double precision on the original vectors.
 The index holds every row; nothing is sampled. Defined results: vectors that are null, empty, zero or hold null or
 non-finite components, or have another length than most, take no part, as query or candidate; null ids take no part;
 rows that repeat an id count once (the first vector in sort order); ties go to the smaller id; with fewer than k
-candidates all are returned; an empty table gives an empty result.
+candidates all are returned; an empty table gives an empty result. The graph holds half-precision numbers: vectors
+over two hundred million times shorter than the longest are zero in it and found by chance only.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from timberline.llm import common
 
 _HALF = np.float16
 _ROWS = 1 << 14
+_BANDS = 16
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -90,20 +95,28 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("embedding").agg(F.min("vec_id").alias("node")).select("node", "embedding")
 
 
-def packed(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """(node, vec): scaled, extended vectors of half-precision numbers as bytes; and their length."""
-    facts = nodes.select(F.max(F.sqrt(_inner("embedding", "embedding"))).alias("norm"), F.max(F.size("embedding")).alias("dims")).first()
+def banded(nodes: DataFrame) -> tuple[DataFrame, list[int], float, int]:
+    """(node, embedding, band), the bands that occur, the greatest norm, and the length of extended vectors."""
+    normed = nodes.withColumn("norm", F.sqrt(_inner("embedding", "embedding")))
+    facts = normed.select(F.max("norm").alias("norm"), F.max(F.size("embedding")).alias("dims")).first()
     norm, dims = facts["norm"] or 1.0, (facts["dims"] or 0) + 1
+    band = F.least(F.floor(F.log2(F.lit(norm) / F.col("norm"))), F.lit(_BANDS - 1)).cast("int")
+    rows = common.stored(normed.select("node", "embedding", F.greatest(band, F.lit(0)).alias("band")), "bands")
+    return rows, sorted(r["band"] for r in rows.select("band").distinct().collect()), norm, dims
 
+
+def packed(nodes: DataFrame, norm: float, dims: int, guests: bool = False) -> DataFrame:
+    """(node, vec): scaled, extended vectors of half-precision numbers as bytes. Guests are scaled to length 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims - 1) / norm
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims - 1)
+            x = x / (np.linalg.norm(x, axis=1, keepdims=True) if guests else norm)
             rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))
             rest[rest < 1e-3] = 0  # rounding of equal norms
             made = np.hstack([x, rest]).astype(_HALF)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([r.tobytes() for r in made], pa.binary())], names=["node", "vec"])
 
-    return nodes.select("node", "embedding").mapInArrow(run, "node long, vec binary"), dims
+    return nodes.select("node", "embedding").mapInArrow(run, "node long, vec binary")
 
 
 STATE = "node long, vec binary, nbr array<bigint>, sim array<float>, fresh array<boolean>"
@@ -145,19 +158,44 @@ def merge(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return _by(rows, "node").mapInArrow(run, STATE)
 
 
-def first_neighbours(nodes: DataFrame, dims: int, count: int, k: int, trees: int, cell: int, seed: int) -> DataFrame:
-    """(node, nbr, sim) from cells of random hyperplanes."""
+def centre(nodes: DataFrame, dims: int) -> np.ndarray:
+    """The mean vector: one row per component and map task is summed in Spark."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(dims), 0
+        for batch in batches:
+            total += _matrix(batch.column("vec"), dims).sum(axis=0, dtype=np.float64)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims)), pa.array(total), pa.array(np.full(dims, n))], names=["at", "total", "n"])
+
+    found = nodes.select("vec").mapInArrow(sums, "at long, total double, n long").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    out = np.zeros(dims)
+    for at, total, n in found.collect():
+        out[at] = total / max(n, 1)
+    return out
+
+
+def cells(nodes: DataFrame, dims: int, count: int, trees: int, cell: int, seed: int) -> DataFrame:
+    """(cell, node, vec): each node once per tree, in groups of about `cell` nodes at most."""
     bits = min(60, max(0, int(np.ceil(np.log2(max(1, count / (cell / 2)))))))
     planes = np.random.default_rng(seed).normal(size=(trees, dims, max(bits, 1)))
+    mean = centre(nodes, dims)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(max(bits, 1), dtype=np.int64)
         for batch in batches:
-            x = _matrix(batch.column("vec"), dims)
+            x = _matrix(batch.column("vec"), dims) - mean
             for tree in range(trees):
-                cells = ((x @ planes[tree] > 0) @ powers if bits else np.zeros(len(x), dtype=np.int64)) * trees + tree
-                yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column("node"), batch.column("vec")], names=["cell", "node", "vec"])
+                codes = ((x @ planes[tree] > 0) @ powers if bits else np.zeros(len(x), dtype=np.int64)) * trees + tree
+                yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column("node"), batch.column("vec")], names=["cell", "node", "vec"])
 
+    coded = nodes.mapInArrow(code, "cell long, node long, vec binary")
+    large = common.stored(coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell), "large")
+    piece = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "node", "cell"), F.ceil(F.col("n") / cell))).otherwise(0)
+    return coded.join(large, "cell", "left").select(F.xxhash64("cell", piece).alias("cell"), "node", "vec")
+
+
+def first_neighbours(nodes: DataFrame, dims: int, count: int, k: int, trees: int, cell: int, seed: int) -> DataFrame:
+    """(node, nbr, sim) from cells of random hyperplanes."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "cell"):
             cells, node = table["cell"].to_numpy(), table["node"].to_numpy()
@@ -176,8 +214,7 @@ def first_neighbours(nodes: DataFrame, dims: int, count: int, k: int, trees: int
                         pa.array(node[at]), _lists(node[at][best.ravel()], row, len(at), pa.int64()),
                         _lists(sims[row, best.ravel()], row, len(at), pa.float32())], names=["node", "nbr", "sim"])
 
-    coded = nodes.mapInArrow(code, "cell long, node long, vec binary")
-    return _by(coded, "cell", "node").mapInArrow(compare, "node long, nbr array<bigint>, sim array<float>")
+    return _by(cells(nodes, dims, count, trees, cell, seed), "cell", "node").mapInArrow(compare, "node long, nbr array<bigint>, sim array<float>")
 
 
 def compared(state: DataFrame, dims: int, k: int, group: int, turn: int) -> DataFrame:
@@ -211,11 +248,19 @@ def compared(state: DataFrame, dims: int, k: int, group: int, turn: int) -> Data
                 there[g, place] = True
                 good = (sims > need[:, :, None]) & there[:, None, :] & (new[:, :, None] | new[:, None, :]) & (ids[:, :, None] != ids[:, None, :])
                 i, p, q = np.nonzero(good)
-                row = i * m + p
-                rows, at = np.unique(row, return_inverse=True)
+                node, nbr, sim = ids[i, p], ids[i, q], sims[i, p, q]
+                order = np.lexsort((nbr, node))
+                node, nbr, sim = node[order], nbr[order], sim[order]
+                once = np.ones(len(node), dtype=bool)
+                once[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
+                node, nbr, sim = node[once], nbr[once], sim[once]
+                order = np.lexsort((nbr, -sim, node))
+                node, nbr, sim = node[order], nbr[order], sim[order]
+                rank = np.arange(len(node)) - np.searchsorted(node, node)
+                node, nbr, sim = node[rank < k], nbr[rank < k], sim[rank < k]
+                names, at = np.unique(node, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids.ravel()[rows]), _lists(ids[i, q], at, len(rows), pa.int64()),
-                    _lists(sims[i, p, q], at, len(rows), pa.float32())], names=["node", "nbr", "sim"])
+                    pa.array(names), _lists(nbr, at, len(names), pa.int64()), _lists(sim, at, len(names), pa.float32())], names=["node", "nbr", "sim"])
 
     rows = members.select("pivot", "member", "fresh").join(facts, "member")
     return _by(rows, "pivot").mapInArrow(run, "node long, nbr array<bigint>, sim array<float>")
@@ -317,14 +362,20 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, degree: int = 32, tr
     """
     vectors = common.stored(usable(rows), "vectors")
     nodes = common.stored(nodes_of(vectors), "distinct")
-    halves, dims = packed(nodes)
-    state = graph(halves, dims, degree, trees, rounds=rounds)
+    rows_of, bands, norm, dims = banded(nodes)
     owners = common.stored(vectors.join(nodes, "embedding").select("vec_id", "node"), "owners")
     asked = owners.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
-    starts = state.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi").select(
-        F.col("node").alias("q"), F.col("vec").alias("qvec"), "nbr")
-    found = search(state, _plain_queries(starts, dims), dims, beam, opens, hops).select("q", "nbr")
-    found = found.unionByName(starts.select("q", F.col("q").alias("nbr")))
+    asking = common.stored(asked.select(F.col("q").alias("node")).distinct(), "asking")
+    found = asking.select(F.col("node").alias("q"), F.col("node").alias("nbr"))
+    for band in bands:
+        halves = packed(rows_of.where(F.col("band") == band), norm / 2**band, dims)
+        if len(bands) > 1:
+            others = rows_of.where(F.col("band") != band).join(asking, "node", "left_semi")
+            halves = halves.unionByName(packed(others, norm, dims, guests=True))
+        state = graph(halves, dims, degree, trees, rounds=rounds)
+        starts = state.join(asking, "node", "left_semi").select(F.col("node").alias("q"), F.col("vec").alias("qvec"), "nbr")
+        found = found.unionByName(search(state, _plain_queries(starts, dims), dims, beam, opens, hops).select("q", "nbr"))
+    found = found.distinct()
     mine = nodes.select(F.col("node").alias("q"), F.col("embedding").alias("qe"))
     theirs = nodes.select(F.col("node").alias("nbr"), F.col("embedding").alias("ne"))
     scored = found.join(mine, "q").join(theirs, "nbr").select("q", "nbr", _inner("qe", "ne").alias("score"))

@@ -37,7 +37,8 @@ MARKERS = {
     ],
     "csv": [
         r'^"?[a-zA-Z_][a-zA-Z0-9_]*"?\s*,\s*"?[a-zA-Z_][a-zA-Z0-9_]*"?\s*,\s*"?[a-zA-Z_][a-zA-Z0-9_]*"?',
-        r'^(?:"[^"]*"|[^",]+)(?:\s*,\s*(?:"[^"]*"|[^",]+)){3,}',
+        # four fields; the form tells no more, and a counted group of possessive parts is matched without recursion
+        r'^(?:"[^"]*+"\s*+|[^",]++)(?:,(?:\s*+"[^"]*+"\s*+|[^",]++)){3}',
     ],
 }
 LOG_TYPES = list(MARKERS)

@@ -76,23 +76,25 @@ def map_headers(headers: DataFrame) -> DataFrame:
         F.transform("names", lambda h, i: F.struct(
             F.when(h.isin(*TARGETS), F.concat(h, F.lit("_raw"))).otherwise(h).alias("key"), i.alias("pos"))),
         lambda e: ~F.array_contains("_won", e["pos"]))
-    last_own = F.filter("_own", lambda e, i: ~F.exists(
-        "_own", lambda other: (other["key"] == e["key"]) & (other["pos"] > e["pos"])))
+    # in order of name and place the last of a name stands before another name; then back in order of place
+    last_own = F.filter("_sorted", lambda e, i: ~F.coalesce(F.get("_sorted", i + 1)["key"] == e["key"], F.lit(False)))
+    placed = F.transform("own", lambda e: F.struct(e["pos"].alias("pos"), e["key"].alias("key")))
     at = F.transform(F.filter("own", lambda e: e["key"] == "results"), lambda e: e["pos"])
     return (
         headers.withColumn("_cand", candidates)
         .withColumn("positions", F.struct(*[winner(t) for t in TARGETS]))
         .withColumn("_won", F.array_compact(F.array(*[F.col(f"positions.{t}") for t in TARGETS])))
-        .withColumn("_own", own).withColumn("own", last_own)
+        .withColumn("_own", own).withColumn("_sorted", F.array_sort("_own")).withColumn("own", last_own)
+        .withColumn("own", F.transform(F.array_sort(placed), lambda e: F.struct(e["key"].alias("key"), e["pos"].alias("pos"))))
         .withColumn("result_at", F.get(at, F.lit(0)))
         .withColumn("mapped", F.array_compact(F.array(*[
             F.when(F.col(f"positions.{t}").isNotNull(), F.lit(t)) for t in TARGETS])))
-        .drop("_cand", "_won", "_own")
+        .drop("_cand", "_won", "_own", "_sorted")
     )
 
 
 def read_headers(lines: DataFrame) -> DataFrame:
-    """First line of each source, with its columns worked out."""
+    """First line of each source, with its columns worked out; ``lines`` may hold other lines too."""
     first = lines.where(F.col("line_no") == 0).select(
         "source", F.transform(csv_fields(strip(F.col("value"))), strip).alias("names"))
     return map_headers(first)
@@ -129,17 +131,19 @@ def _result_level(raw: Column) -> Column:
     )
 
 
-def parse_csv(lines: DataFrame) -> DataFrame:
+def parse_csv(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """CSV rows of all sources, each read by the header of its own source.
 
     Short rows are padded with NULL, blank fields are NULL, rows without any
     value are unparsed; the header line itself has ``is_header``. The header
     table has one row per source. A job that reads the first lines measures it
     at once: up to ``_BROADCAST_BYTES`` of text it is broadcast, so that no other
-    text is shuffled; beyond that the rows are joined by source.
+    text is shuffled; beyond that the rows are joined by source. ``heads``, lines
+    with the first one of each source, spares reading all lines for that.
     """
-    headers = read_headers(lines).where(F.size("names") >= 2)
-    if header_bytes(lines) <= _BROADCAST_BYTES:
+    heads = lines if heads is None else heads
+    headers = read_headers(heads).where(F.size("names") >= 2)
+    if header_bytes(heads) <= _BROADCAST_BYTES:
         headers = F.broadcast(headers)
     text, f = F.col("_text"), F.col("_f")
     joined = lines.select("source", "line_no", strip(F.col("value")).alias("_text")).join(headers, "source", "left")

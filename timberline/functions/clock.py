@@ -116,3 +116,39 @@ def event_time(ts: Column) -> Column:
 def event_hour(ts: Column) -> Column:
     """Hour of :func:`event_time`."""
     return F.date_trunc("hour", event_time(ts)).cast("timestamp_ntz")
+
+
+def event_instant(ts: Column, zone: Column | None = None, default_minutes: int = 0, year: int | None = None) -> Column:
+    """Timestamp text -> TIMESTAMP_NTZ in UTC, so that logs of different zones interleave rightly; NULL without a full date.
+
+    The zone is what follows the time in the text, else ``zone`` (``+0530``,
+    ``-08:00``, ``+01``, ``Z``, ``UTC`` or ``GMT``), else ``default_minutes`` east of
+    Greenwich; a zone name that is none of these counts as not given. Fractions of a
+    second stay. BSD times (``Jul 18 14:30:00``) have no year: ``year`` gives one.
+    """
+    text = F.trim(ts)
+    iso = F.regexp_extract(text, r"^(\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)", 1)
+    local = F.replace(iso, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
+    if year is not None:
+        words = _words(text)
+        bsd = F.concat(F.lit(f"{year:04d}-"), _month(F.get(words, F.lit(0))), F.lit("-"),
+                       _two_digits(F.get(words, F.lit(1)).try_cast("int")), F.lit(" "), F.get(words, F.lit(2)))
+        local = F.when(text.rlike(r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$"), bsd.try_cast("timestamp_ntz")).otherwise(local)
+    tail = F.regexp_extract(text, r"^\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\s*(Z|z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)$", 1)
+    named = F.nullif(tail, F.lit(""))
+    if zone is not None:
+        named = F.coalesce(named, F.trim(zone))
+    minutes = F.coalesce(_zone_minutes(named), F.lit(default_minutes))
+    return F.expr("INTERVAL '1' MINUTE") * (-minutes) + local
+
+
+def _zone_minutes(zone: Column) -> Column:
+    """Minutes east of Greenwich; NULL for a text that is no offset."""
+    digits = F.regexp_replace(zone, "[+:-]", "")
+    hours = F.left(digits, F.lit(2)).try_cast("int")
+    rest = F.coalesce(F.substr(digits, F.lit(3)).try_cast("int"), F.lit(0))
+    size = hours * 60 + rest
+    return (
+        F.when(F.upper(zone).isin("Z", "UTC", "GMT"), F.lit(0))
+        .when(zone.rlike(r"^[+-]\d{2}(?::?\d{2})?$"), F.when(zone.startswith("-"), -size).otherwise(size))
+    )

@@ -38,6 +38,7 @@ REPLICATION = (
     r"remote (?:write|flush|apply|replay))"
 )
 LAG = r"(?i)(?:replication lag|lag)\s*[=:]\s*([\d.]+)\s*(ms|s|min|m|h|bytes|kB|MB|GB)?"
+LAG_UNIT = r"(?i)(?:replication lag|lag)\s*[=:]\s*[\d.]+\s*(ms|s|min|m|h|bytes|kB|MB|GB)\b"
 CHECKPOINT_TOTAL = r"total=(\d+\.\d+)\s*s"
 CHECKPOINT_WRITE = r"write=(\d+\.\d+)\s*s"
 CHECKPOINT_SYNC = r"sync=(\d+\.\d+)\s*s"
@@ -88,7 +89,7 @@ def parse_database(lines: DataFrame, slow_seconds: float = 10.0) -> DataFrame:
         "source", "line_no", "_text", "_banner",
         F.when(banner, F.lit("")).otherwise(F.regexp_replace(group(g, 1), r"^([^ ]*) ", "$1T")).alias("timestamp"),
         F.when(banner, F.lit(0)).otherwise(group(g, 3).try_cast("bigint")).alias("pid"),
-        F.when(banner, "INFO").otherwise(group(g, 4)).alias("level"),
+        F.when(banner, "INFO").otherwise(group(g, 4)).alias("level"), F.when(~banner, group(g, 2)).alias("zone"),
         F.when(banner, text).otherwise(strip(group(g, 5))).alias("_message"),
     )
     timed_rows = once(named, _sql=F.when(~banner, statement), duration_ms=F.when(~banner, millis))
@@ -107,11 +108,19 @@ def parse_database(lines: DataFrame, slow_seconds: float = 10.0) -> DataFrame:
             F.when(event == "autovacuum", F.regexp_extract(vacuum, DEAD_TUPLES, 1).try_cast("bigint")).alias("dead_tuples"),
             F.when(event == "autovacuum", F.regexp_extract(vacuum, LIVE_TUPLES, 1).try_cast("bigint")).alias("live_tuples"),
             F.when(event == "replication", first_match(message, LAG, 1)).alias("lag_value"),
-            F.when(event == "replication", first_match(message, LAG, 2)).alias("lag_unit"),
+            F.when(event == "replication", first_match(message, LAG, 2)).alias("lag_unit"), "zone",
         )
     )
 
 
+def lag_unit(message: Column) -> Column:
+    """The whole unit word after a lag value, as it is written; NULL for none or an unknown one.
+
+    The ``lag_unit`` column takes the first unit that fits, so ``5 MB`` has ``M`` there.
+    """
+    return first_match(message, LAG_UNIT)
+
+
 def checkpoint_numbers(entries: DataFrame) -> DataFrame:
     """Checkpoint rows with ``total_s``, ``write_s``, ``sync_s`` and ``buffers``."""
     m = F.col("message")

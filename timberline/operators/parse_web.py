@@ -44,6 +44,7 @@ def parse_access(lines: DataFrame) -> DataFrame:
     """Combined access format with optional referrer, agent and upstream timings.
 
     A byte count of ``-`` is 0; one that is no number makes the line unparsed.
+    ``timestamp`` has no zone; ``zone`` is what the line gives (``+0500``).
     """
     g = F.col("_g")
     size = F.when(group(g, 7) == "-", F.lit(0).cast("bigint")).otherwise(to_int(group(g, 7)))
@@ -58,6 +59,7 @@ def parse_access(lines: DataFrame) -> DataFrame:
         group_or_null(g, 11).try_cast("double").alias("upstream_response_time"),
         group_or_null(g, 12).try_cast("double").alias("upstream_header_time"),
         group_or_null(g, 13).try_cast("double").alias("upstream_connect_time"),
+        first_match(group(g, 2), r"\s([+-]\d{4})$").alias("zone"),
     )
 
 

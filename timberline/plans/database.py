@@ -12,7 +12,7 @@ from timberline.functions.text import warning_fingerprint
 from timberline.operators import frequency as fq
 from timberline.operators import stats
 from timberline.operators.entries import entries
-from timberline.operators.parse_database import ERROR_LEVELS, checkpoint_numbers
+from timberline.operators.parse_database import ERROR_LEVELS, checkpoint_numbers, lag_unit
 from timberline.plans.app import error_samples
 from timberline.plans.common import frequency_chart, hourly, message_chart, share_table
 from timberline.plans.options import Options, Output
@@ -179,7 +179,7 @@ DATABASE: dict[str, Output] = {
     "replication_events": _event_rows("replication", "level", "message", "lag_value", "lag_unit"),
     "event_totals": event_totals,
     "lag_stats": lag_stats,
-    "lag_stats_by_unit": lambda d, o: lag_stats(d, o, ("lag_unit",)),
+    "lag_stats_by_unit": lambda d, o: lag_stats(d.withColumn("lag_unit", lag_unit(F.col("message"))), o, ("lag_unit",)),
     "tables.levels": share_table(lambda: F.col("level"), "level"),
     "tables.statement_types": share_table(lambda: F.col("stmt_type"), "stmt_type", of_labelled=True),
     "tables.top_tables": share_table(lambda: F.col("table"), "table", of_labelled=True),

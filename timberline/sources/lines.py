@@ -6,6 +6,7 @@ value STRING)``; ``line_no`` counts from 0 within a source, blank lines included
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,15 @@ LINES_SCHEMA = "source string, line_no bigint, value string"
 _MAX_BROADCAST_SPLITS = 200_000
 
 
+def _split(text: str) -> list[str]:
+    """Lines as in a file of that text: they end at CR, LF or both, and blank ones count."""
+    lines = re.split("\r\n|\n|\r", text)
+    return lines[:-1] if lines[-1] == "" else lines
+
+
 def lines_from_text(spark: SparkSession, text: str, source: str = "pasted") -> DataFrame:
-    """Lines of one pasted text."""
-    rows = [(source, i, line) for i, line in enumerate(text.strip().splitlines())]
+    """Lines of one pasted text, numbered as in a file."""
+    rows = [(source, i, line) for i, line in enumerate(_split(text))]
     return spark.createDataFrame(rows, LINES_SCHEMA)
 
 
@@ -34,7 +41,7 @@ def lines_from_files(spark: SparkSession, files: Iterable[tuple[str, str]]) -> D
     for name, content in files:
         seen[name] = seen.get(name, 0) + 1
         source = name if seen[name] == 1 else f"{name} ({seen[name]})"
-        rows += [(source, i, line) for i, line in enumerate(content.strip().splitlines())]
+        rows += [(source, i, line) for i, line in enumerate(_split(content))]
     return spark.createDataFrame(rows, LINES_SCHEMA)
 
 

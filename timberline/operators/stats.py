@@ -26,7 +26,7 @@ QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 _STEPS_PER_OCTAVE = 64.0
 
 
-def _bucket(v: Column) -> Column:
+def bucket(v: Column) -> Column:
     """Order-preserving coarse bucket: logarithmic, 64 per doubling, signed; never NULL."""
     size = (F.floor(F.log2(F.abs(v)) * _STEPS_PER_OCTAVE) + F.lit(100_000)).cast("int")
     return F.coalesce(F.when(v > 0, size).when(v < 0, -size), F.lit(0))
@@ -46,7 +46,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column,
     inputs = [c.alias(f"_in_{n}") for n, (_, c) in measures.items()]
     long = df.select(*keys, value.cast("double").alias("_v"), *inputs)
     aggs = [_FOLD[kind](F.col(f"_in_{n}")).alias(n) for n, (kind, _) in measures.items()]
-    return long.withColumn("_b", _bucket(F.col("_v"))).groupBy(*keys, "_b", "_v").agg(
+    return long.withColumn("_b", bucket(F.col("_v"))).groupBy(*keys, "_b", "_v").agg(
         F.count("*").alias("_c"), F.count("_v").alias("_valued"), *aggs)
 
 
@@ -125,9 +125,24 @@ def describe(
     ``measures`` are further aggregates of the same pass, ``name -> (sum|total|min|max,
     column)``; ``total`` is a sum that can't overflow. Statistics are NULL for a group without values.
     """
-    measures = measures or {}
+    kinds = {n: kind for n, (kind, _) in (measures or {}).items()}
+    return describe_counts(value_counts(df, keys, value, measures), keys, digits, kinds, quantiles)
+
+
+def merge_counts(counts: DataFrame, keys: Sequence[str], kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """Value counts of several parts, or of finer keys, as those of ``keys``: folding is associative."""
+    return counts.groupBy(*keys, "_b", "_v").agg(
+        F.sum("_c").alias("_c"), F.sum("_valued").alias("_valued"),
+        *[(F.sum(n).cast("decimal(38,0)") if kind == "total" else _FOLD[kind](n)).alias(n) for n, kind in (kinds or {}).items()])
+
+
+def describe_counts(
+    counts: DataFrame, keys: Sequence[str], digits: int = 3,
+    kinds: Mapping[str, str] | None = None, quantiles: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """:func:`describe` from value counts; ``kinds`` names the measures they carry."""
+    measures = {n: (kind, F.col(n)) for n, kind in (kinds or {}).items()}
     quantiles = QUANTILES if quantiles is None else quantiles
-    counts = value_counts(df, keys, value, measures)
     buckets = _ranked_buckets(counts, keys, measures)
     targets = F.array(*[
         F.struct(F.lit(n).alias("name"), percentile_rank(F.col("_total"), p).alias("rank"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from timberline.functions.clock import event_instant
 from timberline.operators.detect import LOG_TYPES, detect_types
 from timberline.operators.entries import bookkeeping, entries
+from timberline.operators.once import once
 from timberline.operators.parse_app import parse_api, parse_container
 from timberline.operators.parse_csv import TARGETS, parse_csv
 from timberline.operators.parse_database import parse_database
@@ -20,6 +24,8 @@ from timberline.plans.options import Options, Output
 from timberline.plans.system import SYSLOG
 from timberline.plans.table import TABLE
 from timberline.plans.web import ACCESS, ERROR
+from timberline.sources.lines import LINES_SCHEMA
+from timberline.sources.scratch import scratch_dir, stored
 
 # fixed values: names and titles of the log types
 LABELS = {
@@ -59,6 +65,16 @@ def parse(lines: DataFrame, log_type: str, options: Options = Options()) -> Data
     return PARSERS[log_type](lines)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def typed_schema(spark: SparkSession, log_type: str) -> StructType:
+    """Columns of the typed table of a log type."""
+    if log_type not in _SCHEMAS:
+        _SCHEMAS[log_type] = parse(spark.createDataFrame([], LINES_SCHEMA), log_type).schema
+    return _SCHEMAS[log_type]
+
+
 def report(parsed: DataFrame, log_type: str, options: Options = Options()) -> dict[str, DataFrame]:
     """All outputs of a report, each a DataFrame that runs when it is used.
 
@@ -79,7 +95,8 @@ def analyze(lines: DataFrame, log_type: str = "auto", options: Options = Options
     detected = None
     if not log_type or log_type == "auto":
         # as many rows as there are types
-        kinds = detect_types(lines).where("filled").groupBy("log_type").agg(F.min_by("confidence", "source").alias("confidence")).collect()
+        kinds = detect_types(lines).where("filled").groupBy("log_type").agg(
+            F.min_by(F.struct("confidence", "scores"), "source").alias("found")).select("log_type", "found.*").collect()
         names = sorted(k["log_type"] for k in kinds if k["log_type"] is not None)
         if not names:
             raise ValueError(UNDETECTED)
@@ -88,15 +105,18 @@ def analyze(lines: DataFrame, log_type: str = "auto", options: Options = Options
         log_type, detected = names[0], kinds[0]
     out = report(parse(lines, log_type, options), log_type, options)
     spark = lines.sparkSession
-    facts = [(log_type, LABELS[log_type], detected["confidence"] if detected else None)]
-    out["type"] = spark.createDataFrame(facts, "detected_type string, log_type_label string, detection_confidence double")
+    scores = [(x["type"], x["score"]) for x in detected["scores"]] if detected else None
+    facts = [(log_type, LABELS[log_type], detected["confidence"] if detected else None, scores, list(options.exclude))]
+    out["type"] = spark.createDataFrame(facts, "detected_type string, log_type_label string, detection_confidence double, "
+                                               "detection_scores array<struct<type:string,score:bigint>>, excluded_ips array<string>")
     return out
 
 
-def typed_sources(lines: DataFrame, log_type: str = "auto") -> DataFrame:
+def typed_sources(lines: DataFrame, log_type: str = "auto", with_scores: bool = False) -> DataFrame:
     """``(source, log_type, confidence, error)`` of every source; ``error`` says why it has no report.
 
     A source whose first lines are all blank counts as one without content.
+    ``with_scores`` adds the points of each type and ``filled``.
     """
     empty = F.concat(F.col("source"), F.lit(" holds no lines to read"))
     found = detect_types(lines)
@@ -110,7 +130,13 @@ def typed_sources(lines: DataFrame, log_type: str = "auto") -> DataFrame:
     return found.select(
         "source", F.when(F.col("filled"), kind).cast("string").alias("log_type"),
         sure.cast("double").alias("confidence"),
-        F.when(~F.col("filled"), empty).otherwise(problem).cast("string").alias("error"))
+        F.when(~F.col("filled"), empty).otherwise(problem).cast("string").alias("error"),
+        *(["scores", "filled"] if with_scores else []))
+
+
+def _kinds(lines: DataFrame, log_type: str) -> DataFrame:
+    """:func:`typed_sources`, worked out once."""
+    return stored(typed_sources(lines, log_type), scratch_dir(lines.sparkSession, "kinds"))
 
 
 # Up to this many sources are named in the plan; beyond it they are joined.
@@ -143,7 +169,7 @@ def batch(lines: DataFrame, log_type: str = "auto", options: Options = Options()
     of sources.
     """
     per_source = Options(options.slow, options.critical, ("source",), options.exclude)
-    kinds = typed_sources(lines, log_type)
+    kinds = _kinds(lines, log_type)
     out: dict[str, dict[str, DataFrame]] = {"sources": {"sources": kinds}}
     for t, part in split_by_type(lines, kinds).items():
         out[t] = report(parse(part, t, per_source), t, per_source)
@@ -152,7 +178,7 @@ def batch(lines: DataFrame, log_type: str = "auto", options: Options = Options()
 
 def batch_overview(lines: DataFrame, log_type: str = "auto", options: Options = Options()) -> DataFrame:
     """One row per source: type, confidence, error, line totals and time range."""
-    kinds = typed_sources(lines, log_type)
+    kinds = _kinds(lines, log_type)
     totals = None
     for t, lines_of_type in split_by_type(lines, kinds).items():
         part = bookkeeping(parse(lines_of_type, t, options), ("source",), options.exclude)
@@ -193,34 +219,75 @@ def entry_summary(log_type: str) -> Column:
     return F.left(c("entry"), F.lit(120))
 
 
-_NOT_IN_ENTRY = ("source", "line_no", "is_header", "mapped", "header_names", "trace_line",
+_NOT_IN_ENTRY = ("source", "line_no", "is_header", "mapped", "header_names", "trace_line", "zone", "day",
                  "vacuum_table", "dead_tuples", "live_tuples", "lag_value", "lag_unit")
 
 
-def timeline_rows(parsed: DataFrame, log_type: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """Entries of one type in the common timeline form; ``entry`` is JSON text."""
+def timeline_rows(parsed: DataFrame, log_type: str, exclude: Sequence[str] = (), by_time: bool = False,
+                  year: int | None = None) -> DataFrame:
+    """Entries of one type in the common timeline form; ``entry`` is JSON text.
+
+    ``by_time`` adds ``instant``, the time in UTC by the zone that the entry gives; times
+    without a year take ``year``.
+    """
     e = entries(parsed, exclude)
     body = F.to_json(F.struct(*[n for n in e.columns if n not in _NOT_IN_ENTRY]))
-    return e.withColumn("entry", body).select(
+    zone = F.col("zone") if "zone" in e.columns else None
+    e = e.withColumn("entry", body)
+    if by_time:
+        e = once(once(e, _stamp=F.col("timestamp")), _instant=event_instant(F.col("_stamp"), zone, year=year))
+    return e.select(
         F.coalesce("timestamp", F.lit("")).alias("timestamp"), F.lit(log_type).alias("type"), "source",
-        entry_summary(log_type).alias("summary"), "entry", "line_no")
+        entry_summary(log_type).alias("summary"), "entry", "line_no",
+        *([F.col("_instant").alias("instant")] if by_time else []))
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of frames with the same columns; raises ValueError when there is none."""
+    if not parts:
+        raise ValueError("No source has a log type: nothing to correlate")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def timeline_order(by_time: bool) -> list[str]:
+    return ["instant" if by_time else "timestamp", "place", "line_no"]
+
+
+def in_order(rows: DataFrame, places: DataFrame, by_time: bool = False) -> DataFrame:
+    """Timeline rows by timestamp text (or instant), then the place ``(source, place)`` of their source, then line.
+
+    Entries without a time come first.
+    """
+    return rows.join(places, "source").orderBy(*timeline_order(by_time))
+
+
+def places_of(lines: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """``(source, place)``: the named sources in the given order, others after them by name."""
+    named = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("source")) if order else F.lit(0)
+    last = F.when(named == 0, F.lit(len(order) + 1)).otherwise(named)
+    ranked = W.orderBy(last, "source")
+    return lines.select("source").distinct().withColumn("place", F.row_number().over(ranked).cast("bigint") - 1)
 
 
 def correlate(lines: DataFrame, log_type: str = "auto", options: Options = Options(),
-              known: DataFrame | None = None) -> DataFrame:
+              known: DataFrame | None = None, order: Sequence[str] = (), by_time: bool = False, year: int | None = None) -> DataFrame:
     """Entries of all sources in one timeline, by timestamp text, then source, then line.
 
-    Sources without a detected type are left out. ``known`` gives types by
+    ``order`` names the sources in the order of their files, which decides
+    between entries of equal times; sources that it does not name follow by name. ``by_time``
+    sorts by the instant that the zone of each entry gives instead of the text. Sources without a
+    detected type are left out. ``known`` gives types by
     source ``(source, log_type)`` instead of detection. Raises ValueError when
     no source has a type.
     """
-    rows = None
-    for t, part in split_by_type(lines, typed_sources(lines, log_type) if known is None else known).items():
-        more = timeline_rows(parse(part, t, options), t, options.exclude)
-        rows = more if rows is None else rows.unionByName(more)
-    if rows is None:
-        raise ValueError("No source has a log type: nothing to correlate")
-    return rows.orderBy("timestamp", "source", "line_no")
+    types = _kinds(lines, log_type) if known is None else known
+    rows = union([timeline_rows(parse(part, t, options), t, options.exclude, by_time, year) for t, part in split_by_type(lines, types).items()])
+    if not order:
+        return rows.orderBy("instant" if by_time else "timestamp", "source", "line_no")
+    return in_order(rows, places_of(types, order), by_time).drop("place")
 
 
 def timeline_totals(timeline: DataFrame) -> DataFrame:
@@ -234,5 +301,5 @@ def type_counts(timeline: DataFrame) -> DataFrame:
 
 
 __all__ = ["LABELS", "LOG_TYPES", "PARSERS", "REPORTS", "TARGETS", "analyze", "batch", "batch_overview", "compare",
-           "correlate", "parse", "register", "report", "shared_clients", "split_by_type", "timeline_rows", "timeline_totals",
+           "correlate", "in_order", "parse", "places_of", "register", "report", "shared_clients", "split_by_type", "timeline_rows", "timeline_totals",
            "type_counts", "typed_sources"]

@@ -33,11 +33,16 @@ def _hourly(df: DataFrame, o: Options) -> DataFrame:
 
 
 def hourly_performance(df: DataFrame, o: Options) -> DataFrame:
+    return performance_rows(_hourly(df, o), o)
+
+
+def performance_rows(hours: DataFrame, o: Options) -> DataFrame:
+    """Output rows from the statistics of each hour."""
     state = (
         F.when(F.coalesce("max", F.lit(0.0)) > o.critical, "critical")
         .when(F.coalesce("avg", F.lit(0.0)) > o.slow, "degraded").otherwise("healthy")
     )
-    return _hourly(df, o).select(
+    return hours.select(
         *o.by, "hour", F.col("rows").alias("requests"), F.col("avg").alias("avg_rt"),
         F.col("p95").alias("p95_rt"), F.col("max").alias("max_rt"), state.alias("status"),
     ).orderBy(*o.by, "hour")
@@ -45,9 +50,13 @@ def hourly_performance(df: DataFrame, o: Options) -> DataFrame:
 
 def incidents(df: DataFrame, o: Options) -> DataFrame:
     """Hours with a slow average or a critical maximum; ``slow_count`` counts values over critical."""
+    return incident_rows(_hourly(df, o), o)
+
+
+def incident_rows(hours: DataFrame, o: Options) -> DataFrame:
     mean, top = F.col("exact_avg"), F.col("exact_max")
     severity = F.when((top > o.critical) | (mean > o.critical), "critical").otherwise("degraded")
-    return _hourly(df, o).where((F.col("count") > 0) & ((mean > o.slow) | (top > o.critical))).select(
+    return hours.where((F.col("count") > 0) & ((mean > o.slow) | (top > o.critical))).select(
         *o.by, F.col("hour").alias("period"), severity.alias("severity"), F.col("avg").alias("avg_rt"),
         F.col("p95").alias("p95_rt"), F.col("max").alias("max_rt"), F.col("count").alias("request_count"),
         "slow_count",
@@ -55,12 +64,17 @@ def incidents(df: DataFrame, o: Options) -> DataFrame:
 
 
 def summary(df: DataFrame, o: Options) -> DataFrame:
-    e = entries(df, o.exclude)
-    timing = stats.describe(e, o.by, F.col("response_time"), measures={
-        "total_bytes": ("total", F.col("bytes")), "errors": ("sum", _one(F.col("status") >= 400))})
+    """One fold by hour and value gives the statistics and the incidents; the distinct counts are the other pass."""
+    e = entries(df, o.exclude).withColumn("hour", hour_key(F.col("timestamp")))
+    kinds = {"total_bytes": "total", "errors": "sum", "slow_count": "sum"}
+    folded = stats.value_counts(e, [*o.by, "hour"], F.col("response_time"), {
+        "total_bytes": ("total", F.col("bytes")), "errors": ("sum", _one(F.col("status") >= 400)),
+        "slow_count": ("sum", _one(F.col("response_time") > o.critical))})
+    timing = stats.describe_counts(stats.merge_counts(folded, o.by, kinds), o.by, kinds=kinds)
     distinct = e.groupBy(*o.by).agg(
         F.count_distinct("ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths"))
-    found = incidents(df, o).groupBy(*o.by).agg(F.count("*").alias("incident_count"))
+    bad = incident_rows(stats.describe_counts(folded, [*o.by, "hour"], kinds=kinds, quantiles={"p95": 0.95}), o)
+    found = bad.groupBy(*o.by).agg(F.count("*").alias("incident_count"))
     top = F.coalesce("exact_max", F.lit(0.0))
     health = (
         F.when(top > o.critical, "critical")

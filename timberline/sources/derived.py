@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timberline.sources.lines import spread
+from timberline.sources.scratch import scratch_dir
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +43,15 @@ def _lines(df: DataFrame, source: str, value: str) -> DataFrame:
     return df.selectExpr(f"{source} AS source", "i AS line_no", f"{value} AS value")
 
 
-def access_lines(spark: SparkSession, sf_dir: str, by_host: bool = False) -> DataFrame:
-    """Web-server access lines; ``by_host`` spreads them over three sources."""
+def access_lines(spark: SparkSession, sf_dir: str, by_host: bool = False, zoned: bool = False) -> DataFrame:
+    """Web-server access lines; ``by_host`` spreads them over three sources, ``zoned`` puts each in a zone of its own."""
     timing = f"""CASE WHEN i % 5 = 0 THEN '' ELSE concat(' "-" "ua/1.0" rt=', {_decimal('cents', 3)},
         CASE WHEN i % 7 = 0 THEN '' ELSE concat(' urt=', {_decimal('cents * 5', 4)}, ' uht=',
         {_decimal('cents * 2', 4)}, ' uct=', {_decimal('cents', 5)}) END) END"""
+    local = "timestampadd(MINUTE, CASE u % 3 WHEN 1 THEN 330 WHEN 2 THEN -480 ELSE 0 END, ts)" if zoned else "ts"
+    zone = "CASE u % 3 WHEN 1 THEN '+0530' WHEN 2 THEN '-0800' ELSE '+0000' END" if zoned else "'+0000'"
     value = f"""CASE WHEN i % 97 = 0 THEN concat('garbage ', i) WHEN i % 101 = 0 THEN '   ' ELSE
-        concat(ip, ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] "', method, ' /api/', e, '/', i % 23,
+        concat(ip, ' - - [', date_format({local}, 'dd/MMM/yyyy:HH:mm:ss'), ' ', {zone}, '] "', method, ' /api/', e, '/', i % 23,
         ' HTTP/1.1" ', status, ' ', CASE WHEN i % 13 = 0 THEN '-' ELSE string(i * 37 % 10000) END, {timing}) END"""
     source = "concat('web', u % 3, '.log')" if by_host else "'access.log'"
     return _lines(_base(spark, sf_dir), source, value)
@@ -111,7 +114,11 @@ def database_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(_base(spark, sf_dir), "'postgresql.log'", value)
 
 
-def system_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def system_lines(spark: SparkSession, sf_dir: str, by_host: bool = False, bsd: bool = False) -> DataFrame:
+    """Syslog lines; ``by_host`` spreads them over three sources, ``bsd`` writes times without year."""
+    stamp = """concat(date_format(ts, 'MMM'), ' ', lpad(dayofmonth(ts), 2, ' '), date_format(ts, ' HH:mm:ss'))""" if bsd else (
+        """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")""")
+    source = "concat('node', u % 3, '.log')" if by_host else "'syslog'"
     body = """CASE e WHEN 'error' THEN concat('sshd[', u + 1000, ']: Failed password for invalid user u', i % 12,
             ' from ', ip, ' port ', i % 60000, ' ssh2')
         WHEN 'signup' THEN concat('kernel: WARNING: CPU ', i % 8, ' at drivers/gpu/drm')
@@ -119,10 +126,57 @@ def system_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'click' THEN concat('CRON[', i, ']: session opened for job ', i % 5)
         ELSE concat('app[', u, ']: level=error out of memory in pool ', i % 6) END"""
     value = f"""CASE WHEN i % 67 = 0 THEN '-- mark --' WHEN i % 59 = 0 THEN '' ELSE
-        concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), ' host', u % 3, ' ', {body}) END"""
+        concat({stamp}, ' host', u % 3, ' ', {body}) END"""
+    return _lines(_base(spark, sf_dir), source, value)
+
+
+def anomaly_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syslog lines whose messages go through all anomaly rules, event by event."""
+    texts = ", ".join(f"'{t}'" for t in ANOMALY_TEXTS)
+    value = f"""concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), ' host', u % 3, ' app[', u, ']: ',
+        element_at(array({texts}), int(i % {len(ANOMALY_TEXTS)}) + 1), ' ', i)"""
     return _lines(_base(spark, sf_dir), "'syslog'", value)
 
 
+# one message per rule, in the order of the rules; the last two match none
+ANOMALY_TEXTS = [
+    "WARNING: at drivers/gpu", "drm_WARN_ON(x)", "Tainted: [W]", "BUG: soft lockup", "RIP: 0010", "systemd[1] unit Failed",
+    "exited with status 3", "systemd[1] x Deactivated successfully", "Xwayland exited unexpectedly", "GDM assertion x failed",
+    "gnome-shell assertion y failed", "Unable to register client", "GLib-GIO ** critical", "assertion z failed", "Error: job failed",
+    "operation timed out", "connection refused", "carrier lost", "Failed password for x", "authentication failure x", "invalid user bob",
+    "permission denied", "sudo: bob NOT in sudoers", "i915 0000 WARN", "timeout waiting for PHY", "MCE seen", "thermal event",
+    "livepatch update failed", "POST request to livepatch", "out of memory", "killed process", "I/O error on disk", "ext4 fs error",
+    "xfs metadata error", "all is well", "level=error plain",
+]
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV rows with a ``results`` column and no level."""
+    told = """CASE i % 9 WHEN 0 THEN "{'matched': 'Y'}" WHEN 1 THEN concat("{'matched': 'N', 'error': 'no id ", i % 5, "'}")
+        WHEN 2 THEN "{'matched': 'N'}" WHEN 3 THEN concat("{'error': 'bad input ", i % 4, "'}")
+        WHEN 4 THEN concat("{'detail': ErrorDetail(string='denied ", i % 7, "', code='x')}")
+        WHEN 5 THEN "{'non_field_errors': [ErrorDetail(string='expired', code='c')]}" WHEN 6 THEN "{'Token': 'abc'}"
+        WHEN 7 THEN concat('plain, ', i) ELSE '' END"""
+    header = spark.range(1).selectExpr("'results.csv' AS source", "bigint(0) AS line_no", "'timestamp,results,ip' AS value")
+    rows = _base(spark, sf_dir).selectExpr(
+        "'results.csv' AS source", "i + 1 AS line_no", f"""concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',"', {told}, '",', ip) AS value""")
+    return header.unionByName(rows)
+
+
+# two headers for one format: names that stand for one column compete, the longest wins
+TWO_HEADERS = {"a.csv": "ts,time,msg,client_ip,elapsed", "b.csv": "Date,LogLevel,Body,ip,request_time"}
+
+
+def two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV rows of two sources, even and odd events, each with a header of its own."""
+    heads = spark.createDataFrame([(s, 0, h) for s, h in TWO_HEADERS.items()], "source string, line_no bigint, value string")
+    rows = _base(spark, sf_dir).selectExpr(
+        "CASE i % 2 WHEN 0 THEN 'a.csv' ELSE 'b.csv' END AS source", "i div 2 + 1 AS line_no",
+        f"""CASE i % 2 WHEN 0 THEN concat('t', i, ',', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',m', i % 5, ',', ip, ',', {_decimal('cents', 2)})
+        ELSE concat('d', i, ',', upper(e), ',m', i % 5, ',', ip, ',', date_format(ts, 'yyyy-MM-dd HH:mm:ss')) END AS value""")
+    return heads.unionByName(rows)
+
+
 CSV_HEADER = "timestamp,level,ip,path,http_method,status,duration,bytes,user,message,zone"
 
 
@@ -140,6 +194,33 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.unionByName(rows)
 
 
+def _daily(lines: DataFrame, events_: DataFrame, name: str, shift: int = 0) -> DataFrame:
+    """Lines of one log cut into a file per day of their event: ``(source, line_no, value)``, numbers not consecutive."""
+    days = events_.selectExpr(f"event_id + {shift} AS line_no", "date_format(ts, 'yyyy-MM-dd') AS day")
+    return lines.join(days, "line_no").selectExpr(f"{name} AS source", "line_no", "value")
+
+
+def daily_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with real text files: the access log of three hosts in three zones, error log, API log and table, one file a day.
+
+    A file is written by one task, as a log is by one host; files are dealt to all tasks.
+    """
+    base = events(spark, sf_dir).select("event_id", "ts")
+    stem = "concat('access-', substring_index(source, '.', 1), '-', day, '.log')"
+    out = _daily(access_lines(spark, sf_dir, by_host=True, zoned=True), base, stem)
+    out = out.unionByName(_daily(error_lines(spark, sf_dir), base, "concat('error-', day, '.log')"))
+    out = out.unionByName(_daily(api_lines(spark, sf_dir), base, "concat('api-', day, '.log')"))
+    # a row without a level does not count as a table row when the type is detected
+    full = csv_lines(spark, sf_dir).where("line_no > 0").selectExpr("source", "line_no", "regexp_replace(value, '^([^,]+),,', '$1,INFO,') AS value")
+    rows = _daily(full, base, "concat('table-', day, '.csv')", 1)
+    heads = base.selectExpr("concat('table-', date_format(ts, 'yyyy-MM-dd'), '.csv') AS source").distinct().selectExpr(
+        "source", "bigint(0) AS line_no", f"'{CSV_HEADER}' AS value")
+    out = out.unionByName(rows).unionByName(heads)
+    path = scratch_dir(spark, "logs")
+    out.repartition("source").sortWithinPartitions("source", "line_no").select("source", "value").write.partitionBy("source").text(path)
+    return path
+
+
 def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven logs together, as one multi-source ``lines`` frame."""
     out = access_lines(spark, sf_dir)

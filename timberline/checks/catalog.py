@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.checks import expected as x
-from timberline.functions.clock import event_hour
+from timberline.functions.clock import event_hour, event_instant
+from timberline.functions.rules import level_from_words
 from timberline.operators import frequency as fq
 from timberline.operators import stats
 from timberline.operators.context import context
@@ -16,12 +17,19 @@ from timberline.operators.detect import detect_types
 from timberline.operators.entries import bookkeeping, client_of, entries, exclude_clients
 from timberline.operators.positions import entry_index
 from timberline.operators.search import pick, search
+from timberline.operators.parse_csv import parse_csv
+from timberline.operators.parse_system import parse_syslog
 from timberline.plans import analyze as an
+from timberline.plans import hours
 from timberline.plans.options import Options
+from timberline.plans.store import LogStore
 from timberline.sinks.files import as_json, text_summary
 from timberline.sinks.history import history_rows, list_reports
+from timberline.sinks.timeline import read_ranked, write_clustered
 from timberline.sources import derived
 from timberline.sources.lines import lines_of
+from timberline.sources.scratch import scratch_dir
+from timberline.streaming import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -337,8 +345,8 @@ _LAG_COLUMNS = f"""CAST(count(lag_value) AS BIGINT) AS count,
   {x.rounded('CAST(sum(CAST(lag_value AS DECIMAL(18,2))) AS DOUBLE) / count(lag_value)', 2)} AS avg,
   {x.rounded(f'max({_LAG})', 2)} AS max, {x.rounded(f'min({_LAG})', 2)} AS min"""
 output("database", "lag_stats", x.query(_D, f"SELECT {_LAG_COLUMNS} FROM log WHERE event = 'replication'"))
-output("database", "lag_stats_by_unit", x.query(_D, f"""SELECT lag_unit, {_LAG_COLUMNS} FROM log WHERE event = 'replication'
-  GROUP BY 1"""))
+output("database", "lag_stats_by_unit", x.query(_D, f"""SELECT CASE lag_unit WHEN 'M' THEN 'MB' ELSE lag_unit END AS lag_unit, {_LAG_COLUMNS}
+  FROM log WHERE event = 'replication' GROUP BY 1"""))
 output("database", "tables.levels", x.share(_D, "level", "level"))
 output("database", "tables.statement_types", x.share(_D, "stmt_type", "stmt_type", of_labelled=True))
 output("database", "tables.top_tables", x.share(_D, "tbl", "table", of_labelled=True))
@@ -439,6 +447,92 @@ output("csv", "tables.all_rows", x.query(_T, """SELECT source, line_no, stamp AS
   duration_text AS duration, CAST(bytes AS VARCHAR) AS bytes, usr AS "user", '{"zone":"' || zone || '"}' AS extra FROM log"""),
        shape=lambda df: df.withColumn("extra", F.to_json("extra")))
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(parse_csv(derived.result_lines(spark, sf_dir))).select("line_no", "timestamp", "level", "message", "ip")
+
+
+add("csv_result_rules", _results, x.query(x.BASE, """SELECT i + 1 AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", ip,
+  CASE WHEN i % 9 IN (0, 6, 7) THEN 'INFO' WHEN i % 9 IN (1, 2) THEN 'WARN' WHEN i % 9 IN (3, 4, 5) THEN 'ERROR' END AS level,
+  CASE i % 9 WHEN 0 THEN 'Match found' WHEN 1 THEN 'no id ' || (i % 5) WHEN 2 THEN 'No match' WHEN 3 THEN 'bad input ' || (i % 4)
+    WHEN 4 THEN 'denied ' || (i % 7) WHEN 5 THEN 'expired' WHEN 6 THEN 'Token issued' WHEN 7 THEN 'plain, ' || i END AS message FROM base"""))
+
+
+def _two_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entries(parse_csv(derived.two_tables(spark, sf_dir)).where("NOT is_header"))
+    return rows.select("source", "line_no", "timestamp", "level", "message", "ip", "duration", F.try_element_at("extra", F.lit("ts")).alias("ts"),
+                       F.try_element_at("extra", F.lit("Date")).alias("date"), F.array_join("mapped", ",").alias("mapped"))
+
+
+add("csv_two_headers", _two_headers, x.query(x.BASE, """SELECT CASE i % 2 WHEN 0 THEN 'a.csv' ELSE 'b.csv' END AS source, i // 2 + 1 AS line_no,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", CASE WHEN i % 2 = 1 THEN upper(e) END AS level, 'm' || (i % 5) AS message, ip,
+  CASE WHEN i % 2 = 0 THEN printf('%.2f', CAST(cents AS DOUBLE) / 100) END AS duration,
+  CASE WHEN i % 2 = 0 THEN 't' || i END AS ts, CASE WHEN i % 2 = 1 THEN 'd' || i END AS date,
+  CASE i % 2 WHEN 0 THEN 'timestamp,message,ip,duration' ELSE 'timestamp,level,message,ip' END AS mapped FROM base"""))
+
+_WORD = """CASE i % 10 WHEN 0 THEN 'a FATAL b' WHEN 1 THEN 'kernel panic' WHEN 2 THEN 'ERR' WHEN 3 THEN 'an error' WHEN 4 THEN 'Warning!'
+  WHEN 5 THEN 'info:' WHEN 6 THEN '[DBG]' WHEN 7 THEN 'x TRACE y' WHEN 8 THEN 'errors, warned' ELSE 'debug fatal' END"""
+add("level_words", lambda s, d: derived.events(s, d).selectExpr("event_id AS i").selectExpr("i", f"{_WORD} AS text").select(
+    "i", level_from_words(F.col("text"), with_trace=False).alias("level"), level_from_words(F.col("text")).alias("with_trace")),
+    x.query(x.BASE, """SELECT i, CASE i % 10 WHEN 0 THEN 'FATAL' WHEN 1 THEN 'FATAL' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN'
+  WHEN 5 THEN 'INFO' WHEN 6 THEN 'DEBUG' WHEN 7 THEN 'UNKNOWN' WHEN 8 THEN 'UNKNOWN' ELSE 'FATAL' END AS level,
+  CASE i % 10 WHEN 0 THEN 'FATAL' WHEN 1 THEN 'FATAL' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN'
+  WHEN 5 THEN 'INFO' WHEN 6 THEN 'DEBUG' WHEN 7 THEN 'TRACE' WHEN 8 THEN 'UNKNOWN' ELSE 'FATAL' END AS with_trace FROM base"""))
+
+# --- syslog: times without year, several hosts, every anomaly rule ----------------------------
+
+add("syslog_bsd_entries", lambda s, d: entries(parse_syslog(derived.system_lines(s, d, bsd=True))).select(
+    "line_no", "timestamp", event_instant(F.col("timestamp"), year=2024).alias("instant"), "hostname", "process", "pid", "message", "severity",
+    "category", "trace_line_count", "anomaly_type"), x.query(x.SYSLOG_BSD, """SELECT line_no, stamp AS "timestamp",
+  CAST(date_trunc('second', ts) AS TIMESTAMP) AS instant, hostname, process, pid, message, severity, category,
+  CAST(trace_line_count AS INT) AS trace_line_count, anomaly_type FROM log"""))
+add("syslog_bsd_hours", lambda s, d: an.SYSLOG["charts.hourly_timeline"](parse_syslog(derived.system_lines(s, d, bsd=True)), Options()),
+    x.freq(x.SYSLOG_BSD, "hour"))
+
+
+def _host_syslog(key: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return an.SYSLOG[key](parse_syslog(derived.system_lines(spark, sf_dir, by_host=True)), Options(by=("source",)))
+    add(f"batch_syslog_{key.split('.')[-1]}", run, x.query(x.SYSLOG_BY_HOST, sql))
+
+
+_host_syslog("severity_distribution", "SELECT source, severity AS label, CAST(count(*) AS BIGINT) AS value FROM log GROUP BY 1, 2")
+_host_syslog("charts.top_errors", """SELECT source, form AS label, CAST(count(*) AS BIGINT) AS value FROM log WHERE severity IN ('ERROR', 'WARN')
+  GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(line_no)) <= 20""")
+_host_syslog("tables.error_samples", """SELECT source, stamp AS "timestamp", severity AS level, left(message, 200) AS message, entry_idx
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY line_no) - 1 AS BIGINT) AS entry_idx FROM log)
+  WHERE severity = 'ERROR' QUALIFY row_number() OVER (PARTITION BY source ORDER BY line_no) <= 500""")
+_host_syslog("tables.anomaly_samples", """SELECT source, anomaly_type AS type, arg_min(anomaly_detail, entry_idx) AS detail,
+  left(arg_min(message, entry_idx), 200) AS sample_message, CAST(count(*) AS BIGINT) AS count, min(entry_idx) AS entry_idx
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY line_no) - 1 AS BIGINT) AS entry_idx FROM log)
+  WHERE anomaly_type IS NOT NULL GROUP BY 1, 2""")
+_host_syslog("hour_by_severity", "SELECT source, hour, severity, CAST(count(*) AS BIGINT) AS count FROM log GROUP BY 1, 2, 3")
+# type and description that the rules give to derived.ANOMALY_TEXTS, in their order
+_FOUND = [
+    ("kernel_warning", "Kernel driver warning"), ("kernel_warning", "DRM assertion failure"), ("kernel_warning", "Kernel tainted with WARN flag"),
+    ("kernel_bug", "Kernel BUG triggered"), ("kernel_oops", "Kernel RIP (possible oops)"), ("service_failure", "systemd service failure"),
+    ("service_failure", "Process exited with error status"), ("service_crash_loop", "Service deactivated (watch for restart loop)"),
+    ("display_server", "Xwayland crash"), ("display_server", "GDM assertion failure"), ("display_server", "GNOME Shell assertion failure"),
+    ("display_server", "GNOME session registration failure"), ("application_error", "GLib critical error"), ("application_error", "Assertion failure"),
+    ("application_error", "Application error"), ("network_issue", "Network/service timeout"), ("network_issue", "Network unreachable/refused"),
+    ("network_issue", "Network carrier issue"), ("security", "SSH failed password"), ("security", "Authentication failure"),
+    ("security", "Invalid user login attempt"), ("security", "Permission/access denied"), ("security", "Unauthorized sudo attempt"),
+    ("hardware", "Intel GPU driver warning"), ("network_issue", "Network/service timeout"), ("hardware", "Machine Check Exception"),
+    ("hardware", "Thermal event"), ("livepatch", "Livepatch update failure"), ("livepatch", "Livepatch API failure"), ("oom", "Out of memory"),
+    ("oom", "OOM killer invoked"), ("filesystem", "Disk I/O error"), ("filesystem", "ext4 filesystem error"), ("filesystem", "XFS filesystem error"),
+    (None, ""), ("generic_error", None),
+]
+
+
+def _found(column: int) -> str:
+    def text(v: str | None) -> str:
+        return "NULL" if v is None else f"'{v}'"
+    return f"[{', '.join(text(f[column]) for f in _FOUND)}][i % {len(_FOUND)} + 1]"
+
+
+add("syslog_anomaly_rules", lambda s, d: entries(parse_syslog(derived.anomaly_lines(s, d))).select("line_no", "anomaly_type", "anomaly_detail"),
+    x.query(x.BASE, f"""SELECT i AS line_no, {_found(0)} AS anomaly_type,
+  coalesce({_found(1)}, 'Error from app: level=error plain ' || i) AS anomaly_detail FROM base"""))
+
 # --- several sources ------------------------------------------------------------------------
 
 _FIRST = "FROM base WHERE i < 50"
@@ -574,6 +668,87 @@ centers AS (SELECT line_no AS center_line, entry_idx FROM {x.INDEXED} WHERE leve
     """SELECT entry_idx, center_line, line_num, line_num = center_line AS is_match, content FROM centers JOIN lines
   ON line_num BETWEEN center_line - 2 AND center_line + 2"""))
 
+# --- real files: catalog, typed store, hourly states, timeline, line index --------------------
+
+
+def _store(spark: SparkSession, sf_dir: str) -> LogStore:
+    store = LogStore(spark, scratch_dir(spark, "store"))
+    store.add(derived.daily_files(spark, sf_dir))
+    return store
+
+
+def _file_name() -> Column:
+    return F.regexp_extract("source", "source=([^/]+)/", 1).alias("source")
+
+
+def _files_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _store(spark, sf_dir).overview()
+    return out.select(_file_name(), *[c for c in out.columns if c != "source"])
+
+
+add("files_overview", _files_overview, x.query(x.FILES + f""",
+seen AS (SELECT source, any_value(type) AS type, any_value(head) AS head, count(*) FILTER (WHERE line_no < 50) + any_value(head) AS n,
+  count(*) FILTER (WHERE hit AND line_no < 50) + any_value(head) AS hits FROM filed GROUP BY 1)""",
+    f"""SELECT source, s.type AS log_type, {x.rounded('least(1.0::DOUBLE, hits / n::DOUBLE)', 2)} AS confidence, CAST(NULL AS VARCHAR) AS error,
+  CAST(count(*) + any_value(s.head) AS BIGINT) AS total_lines, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS parsed,
+  CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS parse_errors, min(stamp) FILTER (WHERE ok) AS time_start,
+  max(stamp) FILTER (WHERE ok) AS time_end FROM filed JOIN seen s USING (source) GROUP BY source, s.type, hits, n"""))
+_ZONED_HOURS = _HOURS.replace(x.ACCESS, x.ZONED)
+add("files_hourly_performance", lambda s, d: hours.hourly_performance(_store(s, d).hours()), x.query(
+    _ZONED_HOURS, """SELECT hour, CAST(requests AS BIGINT) AS requests, avg AS avg_rt, p95 AS p95_rt, max AS max_rt,
+  CASE WHEN coalesce(max, 0) > 30 THEN 'critical' WHEN coalesce(avg, 0) > 10 THEN 'degraded' ELSE 'healthy' END AS status FROM hours"""))
+add("files_incidents", lambda s, d: hours.incidents(_store(s, d).hours()), x.query(_ZONED_HOURS, """SELECT hour AS period,
+  CASE WHEN top > 30 OR exact > 30 THEN 'critical' ELSE 'degraded' END AS severity, avg AS avg_rt, p95 AS p95_rt, max AS max_rt,
+  count AS request_count, slow_count FROM bad"""))
+add("files_daily_performance", lambda s, d: hours.daily(_store(s, d).hours()), x.query(x.ZONED, f"""SELECT day, CAST(count(*) AS BIGINT) AS requests,
+  {x.pct('count(*) FILTER (WHERE status >= 400)', 'count(*)')} AS error_rate, CAST(sum(bytes) AS BIGINT) AS total_bytes, {x.stats('rt')}
+  FROM log GROUP BY 1"""))
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access files as a stream, a few at a time; files of later days come before earlier ones."""
+    folder, out = derived.daily_files(spark, sf_dir), scratch_dir(spark, "rollup")
+    rollup.start(spark, f"{folder}/source=access-*", out, scratch_dir(spark, "rollup-state"), "60 days", files_per_batch=40).awaitTermination()
+    return hours.hourly_performance(rollup.read(spark, out))
+
+
+add("stream_hourly_performance", _arriving, x.query(
+    _HOURS, """SELECT hour, CAST(requests AS BIGINT) AS requests, avg AS avg_rt, p95 AS p95_rt, max AS max_rt,
+  CASE WHEN coalesce(max, 0) > 30 THEN 'critical' WHEN coalesce(avg, 0) > 10 THEN 'degraded' ELSE 'healthy' END AS status FROM hours"""))
+
+
+def _event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of all files by real time, clustered and ranked."""
+    path, keys = scratch_dir(spark, "timeline"), an.timeline_order(by_time=True)
+    write_clustered(_store(spark, sf_dir).timeline(by_time=True), keys, path)
+    return read_ranked(spark, path, keys).select("rank", "instant", "timestamp", "type", _file_name(), "line_no")
+
+
+add("correlate_event_time", _event_time, x.query(x.FILES, """SELECT CAST(row_number() OVER (ORDER BY date_trunc('second', ts), source, line_no) AS BIGINT) AS rank,
+  CAST(date_trunc('second', ts) AS TIMESTAMP) AS instant, stamp AS "timestamp", type, source, line_no FROM filed WHERE ok"""))
+
+
+def _stored_context(log_type: str, level: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = _store(spark, sf_dir)
+        picked = entry_index(entries(store.table(log_type)).select("source", "line_no", "level")).where(F.col("level") == level)
+        return store.context(picked, 5, 5).select(_file_name(), "entry_idx", "center_line", "line_num", "is_match", "content")
+    return run
+
+
+def _stored_context_sql(log_type: str, header: str) -> str:
+    return x.query(x.FILES + f""",
+text AS (SELECT source, line_no AS line_num, content FROM filed WHERE type = '{log_type}'{header}),
+centers AS (SELECT source, line_no AS center_line, entry_idx FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY line_no) - 1 AS BIGINT) AS entry_idx FROM filed WHERE ok AND type = '{log_type}')
+  WHERE e = 'error')""", """SELECT source, entry_idx, center_line, line_num, line_num = center_line AS is_match, content
+  FROM centers JOIN text USING (source) WHERE line_num BETWEEN center_line - 5 AND center_line + 5""")
+
+
+add("api_context", _stored_context("api_backend", "error"), _stored_context_sql("api_backend", ""))
+add("csv_context", _stored_context("csv", "ERROR"), _stored_context_sql(
+    "csv", f"\n  UNION ALL SELECT DISTINCT source, CAST(0 AS BIGINT), '{derived.CSV_HEADER}' FROM filed WHERE type = 'csv'"))
+
 # --- sinks ----------------------------------------------------------------------------------
 
 add("report_as_json", lambda s, d: as_json(an.ACCESS["charts.method_distribution"](parsed("access", s, d), Options()), "json"),

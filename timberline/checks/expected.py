@@ -29,6 +29,11 @@ log AS (
     CASE WHEN i % 5 <> 0 AND i % 7 <> 0 THEN CAST(cents AS DOUBLE) / 100000 END AS uct
   FROM base WHERE i % 97 <> 0 AND i % 101 <> 0)"""
 
+# access lines of three hosts, each in its own zone
+SHIFT = "INTERVAL (CASE u % 3 WHEN 1 THEN 330 WHEN 2 THEN -480 ELSE 0 END) MINUTE"
+ZONED = ACCESS.replace("strftime(ts, ", f"strftime(ts + {SHIFT}, ").replace(
+    "SELECT 'access.log' AS source", f"SELECT 'access.log' AS source, strftime(ts + {SHIFT}, '%Y-%m-%d') AS day")
+
 ERROR = BASE + f""",
 log AS (
   SELECT 'error.log' AS source, i AS line_no, {ISO} AS stamp, {ISO_HOUR} AS hour,
@@ -150,6 +155,13 @@ log AS (
       WHEN 'purchase' THEN 'Out of memory' ELSE '' END AS anomaly_detail
   FROM fenced WHERE k NOT IN ('mark', 'blank') AND NOT (k = 'view' AND coalesce(fence, -1) >= 0))"""
 
+# syslog of three hosts, a source each; and with times that lack the year, where no line continues a trace
+SYSLOG_BY_HOST = SYSLOG.replace("OVER (ORDER BY i ROWS", "OVER (PARTITION BY u % 3 ORDER BY i ROWS").replace(
+    "SELECT 'syslog' AS source", "SELECT 'node' || (u % 3) || '.log' AS source")
+SYSLOG_BSD = SYSLOG.replace(" AND NOT (k = 'view' AND coalesce(fence, -1) >= 0)", "").replace(
+    f"{ISO} AS stamp", "strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %H:%M:%S') AS stamp, ts").replace(
+    f"{ISO_HOUR} AS hour", "strftime(ts, '%H:00') AS hour")
+
 CSV = BASE + """,
 log AS (
   SELECT 'table.csv' AS source, i + 1 AS line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp,
@@ -224,3 +236,32 @@ INDEXED = "(SELECT *, CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) A
 def bookkeeping(cte: str, lines: str, errors: str) -> str:
     return query(cte, f"""SELECT CAST({lines} AS BIGINT) AS total_lines, CAST(count(*) AS BIGINT) AS parsed,
       CAST({errors} AS BIGINT) AS parse_errors, min(nullif(stamp, '')) AS time_start, max(nullif(stamp, '')) AS time_end FROM log""")
+
+
+# --- files of a day ---------------------------------------------------------------------------
+
+_API_LEVEL = "CASE e WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'warning' ELSE 'info' END"
+API_TEXT = f"""CASE WHEN i % 79 = 0 THEN '{{"broken": ' WHEN i % 103 = 0 THEN 'nothing to see'
+    WHEN i % 19 = 0 THEN {ISO} || 'Z [' || upper({_API_LEVEL}) || '] plain ' || (i % 6)
+    ELSE '{{"time":"' || {ISO} || 'Z","level":"","severity":"' || {_API_LEVEL} || '"'
+      || CASE WHEN i % 12 = 0 THEN '' ELSE ',"http_method":"' || method || '"' END || ',"url":"/api/' || e || '/' || (i % 23) || '","status":'
+      || CASE i % 10 WHEN 0 THEN 'null' WHEN 1 THEN '"' || status || '"' WHEN 2 THEN status || '.7' WHEN 3 THEN '"200.5"'
+           ELSE CAST(status AS VARCHAR) END
+      || CASE WHEN i % 8 = 0 THEN '' ELSE ',"duration":' || printf('%.3f', CAST(cents * 10 AS DOUBLE) / 1000) END
+      || ',"msg":"m' || (i % 9) || '","req_id":"r' || i || '","shard":' || (i % 5) || '}}' END"""
+CSV_TEXT = """CASE WHEN i % 61 = 0 THEN ',,,,' WHEN i % 53 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') || ','
+    || CASE WHEN e = 'error' THEN 'ERROR' WHEN e = 'signup' THEN 'WARN' ELSE 'INFO' END || ',' || ip || ',/api/' || e || ',' || method
+    || ', ' || status || ' ,' || CASE WHEN i % 8 = 0 THEN 'n/a' ELSE printf('%.3f', CAST(cents * 10 AS DOUBLE) / 1000) END || ','
+    || (i * 37 % 10000) || ',u' || (u % 20) || ',"a ""q"", ' || (i % 6) || '",z' || (i % 3) END"""
+# each event's line in the file of its log and day; ok tells the entries, hit the lines that have a mark of the file's type
+FILES = BASE + f""",
+dealt AS (
+  SELECT 'access-web' || (u % 3) || '-' || strftime(ts, '%Y-%m-%d') || '.log' AS source, 'nginx_access' AS type, i, ts, 0 AS head,
+    i % 97 <> 0 AND i % 101 <> 0 AS ok, i % 97 = 0 AS bad, i % 97 <> 0 AND i % 101 <> 0 AS hit,
+    strftime(ts + {SHIFT}, '%Y-%m-%dT%H:%M:%S') AS stamp, 'x' AS content, e FROM base
+  UNION ALL SELECT 'error-' || strftime(ts, '%Y-%m-%d') || '.log', 'nginx_error', i, ts, 0, i % 89 <> 0, i % 89 = 0, i % 89 <> 0, {ISO}, 'x', e FROM base
+  UNION ALL SELECT 'api-' || strftime(ts, '%Y-%m-%d') || '.log', 'api_backend', i, ts, 0, i % 79 <> 0 AND i % 103 <> 0,
+    i % 79 = 0 OR i % 103 = 0, i % 79 = 0 OR i % 103 <> 0, {ISO} || 'Z', {API_TEXT}, e FROM base
+  UNION ALL SELECT 'table-' || strftime(ts, '%Y-%m-%d') || '.csv', 'csv', i, ts, 1, i % 61 <> 0 AND i % 53 <> 0, i % 61 = 0,
+    i % 61 <> 0 AND i % 53 <> 0, strftime(ts, '%Y-%m-%d %H:%M:%S'), {CSV_TEXT}, e FROM base),
+filed AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY i) - 1 + head AS BIGINT) AS line_no FROM dealt)"""

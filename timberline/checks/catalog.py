@@ -17,6 +17,7 @@ from timberline.operators.detect import detect_types
 from timberline.operators.entries import bookkeeping, client_of, entries, exclude_clients
 from timberline.operators.positions import entry_index
 from timberline.operators.search import pick, search
+from timberline.operators.search_index import build, search_index
 from timberline.operators.parse_csv import parse_csv
 from timberline.operators.parse_system import parse_syslog
 from timberline.plans import analyze as an
@@ -213,6 +214,15 @@ add("access_search", lambda s, d: search(an.ACCESS["tables.top_endpoints"](parse
 add("access_click_filter", lambda s, d: pick(entries(parsed("access", s, d)), {"method": "PUT", "status": 404}).select(
     "line_no", "ip", "path"), x.query(_A, "SELECT line_no, ip, path FROM log WHERE method = 'PUT' AND status = 404"))
 
+def _indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "search")
+    build(entries(parsed("access", spark, sf_dir)).select("line_no", "ip", "method", "path", "status"), path, rows_per_block=256)
+    return search_index(spark, path, "Signup/12")
+
+
+add("access_search_index", _indexed_search, x.query(_A, """SELECT line_no, ip, method, path, status FROM log
+  WHERE contains(lower(path), 'signup/12')"""))
+
 # --- error log ------------------------------------------------------------------------------
 
 _E = x.ERROR
@@ -705,6 +715,21 @@ add("files_daily_performance", lambda s, d: hours.daily(_store(s, d).hours()), x
   FROM log GROUP BY 1"""))
 
 
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct clients and paths per day, exactly, and whether the merged sketches are within 5 % of them."""
+    store = _store(spark, sf_dir)
+    rows = entries(store.table("nginx_access").withColumn("day", F.left("timestamp", F.lit(10))))
+    exact = rows.groupBy("day").agg(F.count_distinct("ip").alias("ips"), F.count_distinct("path").alias("paths"))
+    near = hours.distinct_estimates(store.distinct(), ["day"])
+    return exact.join(near, "day").select(
+        "day", "ips", "paths", (F.abs(F.col("unique_ips") - F.col("ips")) <= 0.05 * F.col("ips")).alias("ips_near"),
+        (F.abs(F.col("unique_paths") - F.col("paths")) <= 0.05 * F.col("paths")).alias("paths_near"))
+
+
+add("files_distinct_estimates", _estimates, x.query(x.ZONED, """SELECT day, CAST(count(DISTINCT ip) AS BIGINT) AS ips,
+  CAST(count(DISTINCT path) AS BIGINT) AS paths, TRUE AS ips_near, TRUE AS paths_near FROM log GROUP BY 1"""))
+
+
 def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The access files as a stream, a few at a time; files of later days come before earlier ones."""
     folder, out = derived.daily_files(spark, sf_dir), scratch_dir(spark, "rollup")

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def search(df: DataFrame, text: str) -> DataFrame:
-    """Rows with the text in any column, case ignored."""
-    row = F.concat_ws("\x01", *[
+def row_text(df: DataFrame) -> Column:
+    """All columns of a row as one text."""
+    return F.concat_ws("\x01", *[
         F.to_json(F.struct(c)) if t.startswith(("array", "struct", "map")) else F.col(c).cast("string")
         for c, t in df.dtypes])
-    return df.where(F.contains(F.lower(row), F.lit(text.lower())))
+
+
+def search(df: DataFrame, text: str) -> DataFrame:
+    """Rows with the text in any column, case ignored."""
+    return df.where(F.contains(F.lower(row_text(df)), F.lit(text.lower())))
 
 
 def pick(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -37,6 +37,29 @@ def hourly_states(parsed: DataFrame) -> DataFrame:
     return counts.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA])
 
 
+# distinct counts per hour as sketches: registers of 2**12 give a standard error of 1.6 %
+_LOG_REGISTERS = 12
+DISTINCT = ("ip", "path")
+DISTINCT_SCHEMA = T.StructType([
+    T.StructField("source", T.StringType()), T.StructField("day", T.StringType()), T.StructField("hour", T.StringType()),
+    *[T.StructField(f"{c}_sketch", T.BinaryType()) for c in DISTINCT]])
+
+
+def distinct_states(parsed: DataFrame) -> DataFrame:
+    """Sketches of the clients and paths of each hour: one small row per hour and map task is shuffled, no row per value."""
+    e = entries(parsed).groupBy("source", "day", hour_key(F.col("timestamp")).alias("hour"))
+    return e.agg(*[F.hll_sketch_agg(c, _LOG_REGISTERS).alias(f"{c}_sketch") for c in DISTINCT])
+
+
+def distinct_estimates(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """About how many clients and paths: ``(…, unique_ips, unique_paths)``, off by 5 % at most in all but one of 700 cases.
+
+    Reports count exactly; this is for ranges whose raw rows should not be read again.
+    """
+    return states.groupBy(*by).agg(*[
+        F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(f"unique_{c}s") for c in DISTINCT])
+
+
 def merged(states: DataFrame, by: Sequence[str]) -> DataFrame:
     """States of ``by`` (a choice of source, day, hour) from finer ones."""
     return stats.merge_counts(states, by, KINDS)

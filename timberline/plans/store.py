@@ -11,8 +11,8 @@ writes, under a batch of its own:
   sources, and an error for files without a report.
 - ``entries/<type>``: typed rows, parsed from ``lines`` of this type's files only,
   by day.
-- ``hours``: value counts of response times per source, day and hour, which
-  add up over batches (see :mod:`timberline.plans.hours`).
+- ``hours`` and ``distinct``: value counts of response times and sketches of clients and paths per source, day
+  and hour, which add up over batches (see :mod:`timberline.plans.hours`).
 
 A batch counts from the moment its row stands in ``batches``, which is written
 last: what a failed or repeated job left behind is never read. A file that
@@ -231,6 +231,7 @@ class LogStore:
             stored = self.spark.read.schema(_and(an.typed_schema(self.spark, log_type), "day")).parquet(
                 f"{self.path}/entries/{log_type}/batch={batch}")
             hours.hourly_states(stored).write.partitionBy("day").parquet(f"{self.path}/hours/batch={batch}")
+            hours.distinct_states(stored).write.partitionBy("day").parquet(f"{self.path}/distinct/batch={batch}")
 
     # what comes out
 
@@ -262,6 +263,11 @@ class LogStore:
         out = self._table("hours", hours.SCHEMA)
         return out if days is None else out.where(F.col("day").isin(*days))
 
+    def distinct(self, days: Sequence[str] | None = None) -> DataFrame:
+        """Hourly sketches of clients and paths, for :func:`timberline.plans.hours.distinct_estimates`."""
+        out = self._table("distinct", hours.DISTINCT_SCHEMA)
+        return out if days is None else out.where(F.col("day").isin(*days))
+
     def timeline(self, options: Options = Options(), by_time: bool = False, year: int | None = None) -> DataFrame:
         """Entries of all files in one timeline, files of equal times in their order (see :func:`timberline.plans.analyze.correlate`)."""
         places = self.files().select("source", "place")

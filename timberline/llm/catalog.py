@@ -28,8 +28,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("op3_mixing", rf"""
-WITH d AS (SELECT doc_id, source, {_SQL_WORDS}::BIGINT AS size, md5('7:' || doc_id::VARCHAR) AS k FROM documents),
+_SQL_MIX = rf"""WITH d AS (SELECT doc_id, source, {_SQL_WORDS}::BIGINT AS size, md5('7:' || doc_id::VARCHAR) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM s),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM w),
@@ -43,12 +42,27 @@ p AS (SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITI
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (size * ((start + size / 2.0 <= target)::INT + (source_size + start + size / 2.0 <= target)::INT))::BIGINT AS taken FROM p
-""")
+"""
+
+
+@query("op3_mixing", _SQL_MIX)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(common.documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+@query("mixing_margins", f"""SELECT source, CAST(sum(taken) AS BIGINT) AS words, CAST(sum(taken // greatest(size, 1)) AS BIGINT) AS draws,
+  CAST(count(*) FILTER (WHERE taken > 0) AS BIGINT) AS documents FROM ({_SQL_MIX}) JOIN documents USING (doc_id) GROUP BY 1""")
+def mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards of the mix hold of each source, added up over shards of 8 blocks of 16 documents."""
+    mixed = mixing.mix(common.documents(spark, sf_dir), block_docs=16, shard_blocks=8)
+    drawn = mixed.select("source", "doc_id", "size", F.explode_outer("draws").alias("d"))
+    shards = drawn.groupBy("source", "d.shard").agg(
+        F.sum(F.when(F.col("d.shard").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.count("d.shard").alias("draws"),
+        F.count_if(F.col("d.copy") == 0).alias("documents"))
+    return shards.groupBy("source").agg(*[F.sum(c).cast("long").alias(c) for c in ("words", "draws", "documents")])
+
+
 @query("op6_line_dedup", r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
        unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),

@@ -106,8 +106,8 @@ def test_traces_against_a_line_by_line_reading(spark):
     """Random start, continuation, other, broken and blank lines; small blocks."""
     rng = random.Random(4)
     texts = {
-        "start": "2025-07-18T10:00:00 h kernel: WARNING: CPU 1", "cont": "2025-07-18T10:00:00 h kernel: more",
-        "other": "2025-07-18T10:00:00 h app: fine", "broken": "mark", "blank": "", "bsd": "Jul 18 10:00:00 h kernel: more"}
+        "start": "2031-02-23T10:00:00 h kernel: WARNING: CPU 1", "cont": "2031-02-23T10:00:00 h kernel: more",
+        "other": "2031-02-23T10:00:00 h app: fine", "broken": "mark", "blank": "", "bsd": "Feb 23 10:00:00 h kernel: more"}
     kinds = [rng.choice(list(texts)) for _ in range(600)]
     inside, swallowed, kept = False, [], []
     for n, k in enumerate(kinds):
@@ -175,13 +175,13 @@ def test_context(spark):
 
 
 DETECTION = {
-    "nginx_access": ['1.2.3.4 - - [18/Jul/2025:14:30:00 +0500] "GET / HTTP/1.1" 200 1'] * 3,
-    "nginx_error": ["2025/07/18 14:30:00 [error] 1#5: bad"] * 3,
-    "container": ["2025-07-18T14:30:01.654321Z stdout F hello"] * 3,
-    "syslog": ["Jul 18 14:30:00 myhost sshd[1]: hello"] * 3,
-    "postgres": ["2025-07-18 14:30:01.456 UTC [1] LOG:  hello"] * 3,
+    "nginx_access": ['198.51.100.7 - - [23/Feb/2031:16:45:00 +0330] "GET / HTTP/1.1" 200 1'] * 3,
+    "nginx_error": ["2031/02/23 16:45:00 [error] 1#5: bad"] * 3,
+    "container": ["2031-02-23T16:45:01.118273Z stdout F hello"] * 3,
+    "syslog": ["Feb 23 16:45:00 mill4 sshd[1]: hello"] * 3,
+    "postgres": ["2031-02-23 16:45:01.782 UTC [1] LOG:  hello"] * 3,
     "api_backend": ['{"level":"info","message":"x"}'] * 3,
-    "csv": ["timestamp,level,message,user", "2025-07-18,INFO,started,bob", "2025-07-18,INFO,done,bob", "2025-07-18,INFO,done,amy"],
+    "csv": ["timestamp,level,message,user", "2031-02-23,INFO,started,bob", "2031-02-23,INFO,done,bob", "2031-02-23,INFO,done,amy"],
     None: ["just some words"] * 3,
 }
 

@@ -12,7 +12,7 @@ from tests.test_operators import DETECTION
 
 
 def access(rt, n=1, hour=10, status=200):
-    line = f'10.0.0.1 - - [18/Jul/2025:{hour}:00:00 +0500] "GET /a HTTP/1.1" {status} 10 "-" "ua" rt={rt}'
+    line = f'10.0.0.1 - - [23/Feb/2031:{hour}:00:00 +0330] "GET /a HTTP/1.1" {status} 10 "-" "ua" rt={rt}'
     return [line] * n
 
 
@@ -32,7 +32,7 @@ def test_health(spark):
 def test_incidents(spark):
     p = an.parse(lines_from_text(spark, "\n".join(access(1, 3, 10) + access(40, 1, 11) + access(12, 2, 12))), "nginx_access")
     got = [(r["period"], r["severity"], r["slow_count"]) for r in an.ACCESS["tables.incidents"](p, Options()).collect()]
-    assert got == [("2025-07-18 11:00", "critical", 1), ("2025-07-18 12:00", "degraded", 0)]
+    assert got == [("2031-02-23 11:00", "critical", 1), ("2031-02-23 12:00", "degraded", 0)]
 
 
 @pytest.mark.parametrize("log_type", list(an.REPORTS))
@@ -77,7 +77,7 @@ def test_batch(spark):
 
 def test_correlate(spark):
     lines = lines_from_files(spark, [
-        ("w.log", "\n".join(access(1, 3))), ("s.log", "2025-07-18T09:00:00 h app: first\n2025-07-18T23:00:00 h app: last"), ("odd", "x\ny")])
+        ("w.log", "\n".join(access(1, 3))), ("s.log", "2031-02-23T09:00:00 h app: first\n2031-02-23T23:00:00 h app: last"), ("odd", "x\ny")])
     got = an.correlate(lines).collect()
     assert [r["type"] for r in got] == ["syslog"] + ["nginx_access"] * 3 + ["syslog"]
     assert got[0]["summary"] == "app: first" and got[1]["summary"] == "GET /a → 200"

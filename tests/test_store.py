@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from timberline.functions.clock import event_instant
 from timberline.operators.entries import entries
+from timberline.operators.search import search
+from timberline.operators.search_index import blocks_of, build, search_index
 from timberline.plans import analyze as an
 from timberline.plans import hours
 from timberline.plans.options import Options
@@ -203,3 +205,26 @@ def test_rollup_of_arriving_files(spark, tmp_path):
     typed = an.parse(lines_from_text(spark, "\n".join(first + late)), "nginx_access")
     whole = an.ACCESS["tables.hourly_performance"](typed.where("zone = '+0000' OR zone IS NULL"), Options()).collect()
     assert [(r["hour"], r["requests"]) for r in whole] == [("2031-02-03 01:00", 25), ("2031-02-03 02:00", 20)]
+
+
+def test_search_index_gives_the_rows_of_the_plain_search(spark, tmp_path):
+    rows = [(i, f"Name {i % 37} of {'Ünder' if i % 5 == 0 else 'plain'} row", {"k": f"v{i % 11}"} if i % 3 else None, i / 8) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, text string, extra map<string,string>, x double").repartitionByRange(3, "id")
+    path = str(tmp_path / "index")
+    build(df, path, rows_per_block=50)
+    total = spark.read.parquet(f"{path}/rows").select("_block").distinct().count()
+    assert 60 <= total <= 63
+    for text in ("name 12 of", "ÜNDER ROW", '"k":"v3"', "17.5", "no such thing", "ab", "", "Name 36 of plain", "2999"):
+        want = sorted(r["id"] for r in search(df, text).collect())
+        assert sorted(r["id"] for r in search_index(spark, path, text).collect()) == want, text
+    assert blocks_of(spark, path, "2999").count() == 1 and blocks_of(spark, path, "no such thing").count() == 0 and blocks_of(spark, path, "ab") is None
+
+
+def test_sketches_merge(spark, logs, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    store.add(f"{logs}/a é.log")
+    store.add(f"{logs}/c.log")
+    rows = entries(store.table("nginx_access"))
+    exact = rows.agg(F.count_distinct("ip").alias("unique_ips"), F.count_distinct("path").alias("unique_paths")).first()
+    assert hours.distinct_estimates(store.distinct()).first() == exact
+    assert hours.distinct_estimates(store.distinct(["2031-02-03"]), ["source"]).count() == 2

@@ -97,12 +97,18 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 
 def banded(nodes: DataFrame) -> tuple[DataFrame, list[int], float, int]:
     """(node, embedding, band), the bands that occur, the greatest norm, and the length of extended vectors."""
-    normed = nodes.withColumn("norm", F.sqrt(_inner("embedding", "embedding")))
-    facts = normed.select(F.max("norm").alias("norm"), F.max(F.size("embedding")).alias("dims")).first()
-    norm, dims = facts["norm"] or 1.0, (facts["dims"] or 0) + 1
-    band = F.least(F.floor(F.log2(F.lit(norm) / F.col("norm"))), F.lit(_BANDS - 1)).cast("int")
-    rows = common.stored(normed.select("node", "embedding", F.greatest(band, F.lit(0)).alias("band")), "bands")
-    return rows, sorted(r["band"] for r in rows.select("band").distinct().collect()), norm, dims
+    norm = F.sqrt(_inner("embedding", "embedding"))
+    facts = nodes.select(norm.alias("norm"), F.size("embedding").alias("dims")).agg(
+        F.max("norm").alias("high"), F.min("norm").alias("low"), F.max("dims").alias("dims")).first()
+    high, dims = facts["high"] or 1.0, (facts["dims"] or 0) + 1
+
+    def band(value: Column) -> Column:
+        return F.greatest(F.least(F.floor(F.log2(F.lit(high) / value)), F.lit(_BANDS - 1)).cast("int"), F.lit(0))
+
+    rows = nodes.select("node", "embedding", band(norm).alias("band"))
+    if facts["low"] and facts["low"] > high / 2:  # the usual case: one graph for all
+        return rows, [0], high, dims
+    return rows, sorted(r["band"] for r in rows.select("band").distinct().collect()), high, dims
 
 
 def packed(nodes: DataFrame, norm: float, dims: int, guests: bool = False) -> DataFrame:
@@ -365,10 +371,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, degree: int = 32, tr
     rows_of, bands, norm, dims = banded(nodes)
     owners = common.stored(vectors.join(nodes, "embedding").select("vec_id", "node"), "owners")
     asked = owners.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("q"))
-    asking = common.stored(asked.select(F.col("q").alias("node")).distinct(), "asking")
+    asking = asked.select(F.col("q").alias("node")).distinct()
     found = asking.select(F.col("node").alias("q"), F.col("node").alias("nbr"))
     for band in bands:
-        halves = packed(rows_of.where(F.col("band") == band), norm / 2**band, dims)
+        halves = packed(rows_of if len(bands) == 1 else rows_of.where(F.col("band") == band), norm / 2**band, dims)
         if len(bands) > 1:
             others = rows_of.where(F.col("band") != band).join(asking, "node", "left_semi")
             halves = halves.unionByName(packed(others, norm, dims, guests=True))

@@ -115,6 +115,26 @@ def test_csv_blocks_without_columns_are_empty(spark):
     assert (r["total_entries"], r["columns"], r["all_columns"], r["error_count"]) == (2, [], ["alpha", "beta"], None)
 
 
+@pytest.mark.parametrize("by", [(), ("source",)])
+def test_csv_summary_sorts_no_rows(spark, by):
+    lines = lines_from_files(spark, [
+        ("b.csv", "ts,level,ip,path,duration,zone\nt1,ERROR,1,/a,2.5,x\nt2,INFO,2,/a,,x\nt3,INFO,1,/b,1.5,\n,,\n"),
+        ("a.csv", "ip,zone,bytes\n3,z,10\n1,,20\n"), ("c.csv", "ab,ac\n,\n")])
+    df = an.TABLE["summary"](an.parse(lines, "csv"), Options(by=by))
+    # rows may be sorted by hashable keys of folded values, never by client and endpoint
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "SortAggregate" in x and ("ip#" in x or "endpoint#" in x)]
+    assert not [x for x in plan.split("\n") if "Sort [" in x and "ip#" in x]
+    got = {r["source"] if by else None: (r["total_entries"], r["all_columns"], r["unique_ips"], r["unique_endpoints"], r["error_count"],
+                                         r["max_duration"], r["total_bytes"]) for r in df.collect()}
+    b, a = ["ts", "level", "ip", "path", "duration", "zone"], ["ip", "zone", "bytes"]
+    if by:
+        assert got == {"b.csv": (3, b, 2, 2, 1, 2.5, None), "a.csv": (2, a, 2, None, None, None, 30)}
+    else:
+        # a header without entries is not among the columns
+        assert got == {None: (5, a, 3, 2, 1, 2.5, 30)}
+
+
 def test_csv_levels_told_by_results(spark):
     p = an.parse(lines_from_text(spark, "id,results\n1,\"{'matched': 'Y'}\"\n2,"), "csv")
     got = [tuple(r) for r in an.TABLE["tables.levels"](p, Options()).collect()]

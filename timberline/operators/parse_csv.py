@@ -95,9 +95,9 @@ def map_headers(headers: DataFrame) -> DataFrame:
 
 def read_headers(lines: DataFrame) -> DataFrame:
     """First line of each source, with its columns worked out; ``lines`` may hold other lines too."""
-    first = lines.where(F.col("line_no") == 0).select(
-        "source", F.transform(csv_fields(strip(F.col("value"))), strip).alias("names"))
-    return map_headers(first)
+    first = once(lines.where(F.col("line_no") == 0).select("source", strip(F.col("value")).alias("_text")),
+                 names=F.transform(csv_fields(F.col("_text")), strip))
+    return map_headers(first.select("source", "names"))
 
 
 def header_bytes(lines: DataFrame) -> int:

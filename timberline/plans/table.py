@@ -10,6 +10,7 @@ from timberline.functions.numeric import exact_total, human_bytes, percent, roun
 from timberline.operators import frequency as fq
 from timberline.operators import stats
 from timberline.operators.entries import entries
+from timberline.operators.once import all_of
 from timberline.operators.parse_csv import TARGETS
 from timberline.plans.app import error_samples
 from timberline.plans.common import frequency_chart, hourly, join_reports, message_chart
@@ -68,18 +69,22 @@ def summary(df: DataFrame, o: Options) -> DataFrame:
     seen = [F.bool_or(_mapped(t) | (F.col(t).isNotNull() if t in ("level", "message") else F.lit(False))).alias(f"_{t}")
             for t in TARGETS]
     size = to_float(F.col("bytes"))
+    # sums, counts and flags only: a text or list among them makes Spark sort the rows instead of hashing them
     counts = e.groupBy(*o.by).agg(
-        *seen, F.min("header_names").alias("all_columns"),
+        *seen,
         F.count_if(level.isin(*ERRORS)).alias("_errors"), F.count_if(level == "INFO").alias("_info"),
         F.count_if(level == "WARN").alias("_warn"),
         F.count_distinct("ip").alias("_ips"), F.count_distinct("endpoint").alias("_endpoints"),
         exact_total(size).alias("_bytes_total"))
-    timing = stats.describe(e, o.by, to_float(F.col("duration")), digits=2, quantiles={"p95": 0.95, "p99": 0.99})
+    folded = stats.value_counts(e, [*o.by, "header_names"], to_float(F.col("duration")))
+    timing = stats.describe_counts(stats.merge_counts(folded, o.by), o.by, digits=2, quantiles={"p95": 0.95, "p99": 0.99})
+    headers = folded.where(all_of(*folded.columns)).select(*o.by, "header_names").distinct()
+    names = headers.groupBy(*o.by).agg(F.min("header_names").alias("all_columns"))
     has_level = F.col("_level")
     columns = F.array_sort(F.filter(
         F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in TARGETS]), lambda t: t.isNotNull()))
     total = F.col("_bytes_total")
-    return join_reports([timing, counts], o.by).select(
+    return join_reports([timing, counts, names], o.by).select(
         *o.by, F.col("rows").alias("total_entries"), columns.alias("columns"), "all_columns",
         F.when(has_level, F.col("_errors")).alias("error_count"),
         F.when(has_level, percent(F.col("_errors"), F.col("rows"))).alias("error_rate"),

@@ -159,6 +159,20 @@ def test_spread(spark):
     assert spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
 
 
+def test_spread_follows_the_rows(spark):
+    even = spread(spark.range(0, 1000, 1, 5), most=100)
+    assert even.rdd.getNumPartitions() == 10
+    assert sorted(r["id"] for r in even.collect()) == list(range(1000))
+    # enough partitions, but one of them holds nearly all rows
+    odd = spark.range(0, 900, 1, 1).union(spark.range(900, 910, 1, 7)).selectExpr("id", "id % 3 AS `a.b`", "map('k', id) AS m")
+    assert odd.rdd.getNumPartitions() == 8
+    dealt = spread(odd, most=100)
+    assert dealt.rdd.getNumPartitions() == 10
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 200
+    assert sorted(tuple(r) for r in dealt.select("id", "`a.b`", "m.k").collect()) == [(i, i % 3, i) for i in range(910)]
+    assert spread(spark.range(0), most=100).count() == 0
+
+
 def test_context(spark):
     lines = lines_from_text(spark, "\n".join(f"line {i}" for i in range(10)))
     picked = spark.createDataFrame([("pasted", 0, 0), ("pasted", 5, 3)], "source string, line_no bigint, entry_idx bigint")

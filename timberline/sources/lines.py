@@ -6,18 +6,23 @@ value STRING)``; ``line_no`` counts from 0 within a source, blank lines included
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 LINES_SCHEMA = "source string, line_no bigint, value string"
 
 # A split table row is a path, two longs and a count; this many stay well under 100 MB.
 _MAX_BROADCAST_SPLITS = 200_000
 
+# A line takes up to a fifth of a millisecond to parse, so a task of this many takes less than a minute.
+_MOST_ROWS = 200_000
+
 
 def _split(text: str) -> list[str]:
     """Lines as in a file of that text: they end at CR, LF or both, and blank ones count."""
@@ -103,12 +108,30 @@ def lines_of(df: DataFrame, value: str, line_no: str, source: str | None = None,
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input has fewer partitions than cores.
+def _hashable(column: DataType) -> bool:
+    """Whether rows can be dealt out by the hash of such a column: maps and variants have none."""
+    if isinstance(column, StructType):
+        return all(_hashable(f.dataType) for f in column.fields)
+    if isinstance(column, ArrayType):
+        return _hashable(column.elementType)
+    return not isinstance(column, MapType | VariantType)
+
+
+def spread(df: DataFrame, most: int = _MOST_ROWS) -> DataFrame:
+    """Deal rows out to all cores, and to as many partitions that none holds many more than ``most`` rows.
 
     Parsing is CPU work per line; an input of few large splits (a gzip file, a
-    single row group) would leave cores idle. Inputs with enough partitions
-    are returned as they are, without a shuffle.
+    single row group) would leave cores idle, and a partition count that does
+    not follow the rows makes tasks, and what they sort or hash, grow with the
+    input. A job counts the rows of each partition (a table file tells them in
+    its footers). Inputs dealt well enough are returned as they are, without a
+    shuffle; others go by the hash of the row, which needs no sort.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    held = df.groupBy(F.spark_partition_id().alias("p")).count().agg(
+        F.sum("count").alias("rows"), F.max("count").alias("largest")).first()
+    if df.rdd.getNumPartitions() >= cores and (held["largest"] or 0) <= most:
+        return df
+    parts = max(cores, math.ceil((held["rows"] or 0) / most))
+    keys = [F.col(f"`{f.name}`") for f in df.schema if _hashable(f.dataType)]
+    return df.repartition(parts, *keys)
